@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 _WORD_BASE, _GRAM_BASE = 0x9E3779B97F4A7C13, 0xD1342543DE82EF93
@@ -206,8 +206,11 @@ def leftmost_minima(hashes: np.ndarray, span: int) -> np.ndarray:
     n = len(hashes)
     if n < span:
         return np.zeros(0, np.int64)
-    if n > int(_POSITION):
-        raise ValueError("a slice has too many positions")
+    if n > int(_POSITION):  # in parts that overlap by a run
+        step = int(_POSITION) // 2
+        if span > step:
+            raise ValueError("the run is too long")
+        return np.concatenate([leftmost_minima(hashes[a : a + step + span - 1], span) + a for a in range(0, n - span + 1, step)])
     key = (hashes & ~_POSITION) | np.arange(n, dtype=np.uint64)
     width, low = 1, key
     while width * 2 <= span:
