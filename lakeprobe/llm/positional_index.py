@@ -151,68 +151,75 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes
 
     An item shorter than the window, but not empty, is one window.
     """
-    spark = docs.sparkSession
     out = documents(docs).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:long,end:long>>"), "items": F.array().cast("array<string>")})
     blocks = list(_blocks(benchmark, window, block_bytes)) or [Queries.build([], window)]
-    for queries in blocks:
-        shared = spark.sparkContext.broadcast(queries)
+    schema = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    for k, queries in enumerate(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(queries)
+
+        def run(batch: pa.RecordBatch, shared=shared, first=k == 0) -> pa.RecordBatch:
+            n_words, spans, items = search(shared.value, batch.column(1))
+            if not first:
+                spans = [_union(a, b) for a, b in zip(batch.column(3).to_pylist(), spans, strict=True)]
+                items = [sorted({*a, *b}) for a, b in zip(batch.column(4).to_pylist(), items, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], names=["doc_id", "text", "n_words", "spans", "items"])
+
+        out = map_batches(out, run, schema)
+    return out.select("doc_id", "n_words", "spans", "items")
 
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            q: Queries = shared.value
-            text = batch.column(1)
-            n_words, spans, items = np.zeros(len(text), np.int64), [], []
-            for part in slices(text):
-                w, h = tokens(part)
-                n_words[part.first : part.last] = w.counts
-                docs_at = w.docs
-                index = ShardIndex.build(h, docs_at, q.vocabulary)
-                covered = np.zeros(len(h) + 1, np.int32)
-                found: dict[int, set[str]] = {}
-                for n, terms in q.windows.items():
-                    phrase, start = index.phrases(terms)
-                    np.add.at(covered, start, 1)
-                    np.add.at(covered, start + n, -1)
-                    for p, d in set(zip(phrase.tolist(), docs_at[start].tolist(), strict=True)):
-                        found.setdefault(d, set()).update(q.items[n][p])
-                hit = np.cumsum(covered[:-1]) > 0
-                for d in range(part.last - part.first):
-                    if d not in found:
-                        spans.append([])
-                        items.append([])
-                        continue
-                    a, b = w.bounds[d], w.bounds[d + 1]
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
-                    spans.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
-                    items.append(sorted(found[d]))
-            return pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(n_words), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], names=["doc_id", "text", "n_words", "spans", "items"])
-
-        seen = out
-        if len(blocks) == 1:
-            out = map_batches(seen.select("doc_id", "text"), run, "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+
+def search(q: Queries, text: pa.Array) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
+    """n_words, spans and items of each text, for one block of queries."""
+    n_words, spans, items = np.zeros(len(text), np.int64), [], []
+    for part in slices(text):
+        w, h = tokens(part)
+        n_words[part.first : part.last] = w.counts
+        docs_at = w.docs
+        index = ShardIndex.build(h, docs_at, q.vocabulary)
+        covered = np.zeros(len(h) + 1, np.int32)
+        found: dict[int, set[str]] = {}
+        for n, terms in q.windows.items():
+            phrase, start = index.phrases(terms)
+            np.add.at(covered, start, 1)
+            np.add.at(covered, start + n, -1)
+            for p, d in set(zip(phrase.tolist(), docs_at[start].tolist(), strict=True)):
+                found.setdefault(d, set()).update(q.items[n][p])
+        hit = np.cumsum(covered[:-1]) > 0
+        for d in range(part.last - part.first):
+            if d not in found:
+                spans.append([])
+                items.append([])
+                continue
+            a, b = w.bounds[d], w.bounds[d + 1]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
+            spans.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
+            items.append(sorted(found[d]))
+    return n_words, spans, items
+
+
+def _union(old: list[dict], new: list[dict]) -> list[dict]:
+    out: list[dict] = []
+    for s in sorted([*old, *new], key=lambda x: (x["start"], x["end"])):
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
         else:
-            out = _merged(seen, run)
-    return out.select("doc_id", "n_words", "spans", "items")
+            out.append(dict(s))
+    return out
+
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows without an occurrence of any window; columns stay as they are."""
+    schema, out = docs.schema, docs
+    at = schema.names.index("text")
+    for queries in _blocks(benchmark, window, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(queries)
+
+        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            spans = search(shared.value, batch.column(at))[1]
+            return batch.filter(pa.array([not s for s in spans]))
 
-def _merged(seen: DataFrame, run) -> DataFrame:
-    """One block's answers put together with those of the blocks before, row by row and so without a shuffle."""
-
-    def both(batch: pa.RecordBatch) -> pa.RecordBatch:
-        now = run(batch)
-        spans, items = [], []
-        for old, new in zip(batch.column("spans").to_pylist(), now.column(3).to_pylist(), strict=True):
-            out: list[list[int]] = []
-            for s in sorted([*old, *new], key=lambda x: (x["start"], x["end"])):
-                if out and s["start"] <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], s["end"])
-                else:
-                    out.append([s["start"], s["end"]])
-            spans.append([{"start": a, "end": b} for a, b in out])
-        for old, new in zip(batch.column("items").to_pylist(), now.column(4).to_pylist(), strict=True):
-            items.append(sorted({*old, *new}))
-        return pa.RecordBatch.from_arrays([now.column(0), now.column(1), now.column(2), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], names=["doc_id", "text", "n_words", "spans", "items"])
-
-    return map_batches(seen, both, "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+        out = map_batches(out, run, schema)
+    return out
 
 
 def postings(docs: DataFrame) -> DataFrame:
