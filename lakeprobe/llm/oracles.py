@@ -60,3 +60,11 @@ SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_remov
   sha256(unhex(CASE WHEN head IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op6_fixity_audit"] = r"""
+WITH p AS (SELECT page_id, url, html, page_id // 4096 AS archive,
+  strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)) + strlen(html) + 4 AS length FROM pages),
+r AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM p)
+SELECT page_id, CASE WHEN page_id % 101 = 17 THEN 'missing' ELSE 'changed' END AS status, archive::BIGINT AS archive, o::BIGINT AS "offset", length::BIGINT AS length
+FROM r WHERE page_id % 101 = 17 OR page_id % 97 = 13
+"""

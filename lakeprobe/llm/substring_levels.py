@@ -5,9 +5,11 @@ Windows that repeat at one length alone are extended to twice that length.
 Level one looks at windows of half the length.  It need not list all of them: of
 the half-length windows inside each full window the one with the least hash is chosen,
 so equal full windows choose equal halves, and only chosen halves are counted.
-A fixed-size filter tells which halves occur twice.  Level two lists the full
-windows whose chosen half does, by 128-bit hash, and finds for each hash the least
-document.  `levels` goes on doubling for callers who want the longest repeats.
+A fixed-size filter tells which halves occur twice.  Level two looks at the
+full windows whose chosen half does.  Successive ones that chose the same half are a
+fragment; equal fragments are counted once with the least and greatest document
+they occur in, and the windows of distinct fragments, by 128-bit hash, find the
+least document that has them.  `levels` goes on doubling for callers who want the longest repeats.
 
 A window is removed from every document but the one with the least doc_id it
 starts in.  Nothing depends on the order of rows, and no group is gathered in one task: hashes
@@ -24,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,13 +82,93 @@ def candidate_windows(docs: DataFrame, window: int) -> DataFrame:
     return map_batches(documents(docs.where(F.col("doc_id").isNotNull())), run, "h1 long, h2 long, doc_id long, pos int")
 
 
+_FRAGMENTS = "c1 long, c2 long, doc_id long, pos int, least long, most long, windows binary"
+
+
+def fragments(docs: DataFrame, window: int) -> DataFrame:
+    """Occurrences of fragments: successive full windows that chose the same half, if it may occur twice.
+
+    c1, c2 are the 128-bit hash of a fragment's words.  Its first occurrence in a
+    run of documents also has the hashes of its windows (h1, h2 after h1, h2) and the
+    least and greatest document of that run.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(build_filter(_half_blobs(docs, window), repeated=True))
+
+    def run(batch: pa.RecordBatch):
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for part in slices(batch.column(1)):
+            w = words(part)
+            h = word_hashes(part, w)
+            starts, low, halves = chosen_halves(h, w.bounds, window)
+            if not len(starts):
+                continue
+            first = np.flatnonzero(np.diff(low, prepend=-1))
+            n = np.diff(np.concatenate([first, [len(low)]]))
+            seen = in_filter(shared.value, halves[low[first]])
+            first, n = first[seen], n[seen]
+            if not len(first):
+                continue
+            g1, g2 = gram_hashes(h, window), gram_hashes(mix(word_hashes(part, w, seed=2)), window)
+            a = starts[first]
+            # the hash of a fragment is that of its first and last window and its length
+            last = a + n - 1
+            c1 = mix(g1[a] * np.uint64(3) + g2[last] + n.astype(np.uint64))
+            c2 = mix(g2[a] * np.uint64(5) + g1[last])
+            place = np.searchsorted(w.bounds, a, side="right") - 1
+            doc = ids[part.first + place]
+            _, once, back = np.unique(c1, return_index=True, return_inverse=True)
+            least, most = np.full(len(once), np.iinfo(np.int64).max), np.full(len(once), np.iinfo(np.int64).min)
+            np.minimum.at(least, back, doc)
+            np.maximum.at(most, back, doc)
+            lead = np.zeros(len(a), bool)
+            lead[once] = True
+            sizes = np.where(lead, n, 0)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            at = np.arange(bounds[-1]) + np.repeat(a - bounds[:-1], sizes)
+            raw = np.stack([g1[at], g2[at]], 1)
+            held = pa.py_buffer(np.packbits(lead, bitorder="little").tobytes())
+            listed = pa.Array.from_buffers(pa.binary(), len(a), [held, pa.py_buffer((bounds * 16).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(doc), pa.array((a - w.bounds[place]).astype(np.int32)), pa.array(least[back], pa.int64(), mask=~lead), pa.array(most[back], pa.int64(), mask=~lead), listed], names=["c1", "c2", "doc_id", "pos", "least", "most", "windows"])
+
+    return map_batches(documents(docs.where(F.col("doc_id").isNotNull())), run, _FRAGMENTS)
+
+
+def _exploded(distinct: DataFrame) -> DataFrame:
+    """h1, h2, c1, c2, at, least, most: a row for each window of each distinct fragment."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        listed = batch.column(4)
+        n = pc.binary_length(listed).to_numpy() // 16
+        raw = np.frombuffer(b"".join(listed.to_pylist()), np.int64).reshape(-1, 2)
+        back = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n)
+        own = batch.select([0, 1, 2, 3]).take(pa.array(back))
+        return pa.RecordBatch.from_arrays([pa.array(raw[:, 0].copy()), pa.array(raw[:, 1].copy()), own.column(0), own.column(1), pa.array(at.astype(np.int32)), own.column(2), own.column(3)], names=["h1", "h2", "c1", "c2", "at", "least", "most"])
+
+    return map_batches(distinct.select("c1", "c2", "least", "most", "windows"), run, "h1 long, h2 long, c1 long, c2 long, at int, least long, most long")
+
+
 def removed_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """Written table: doc_id and the starts of its windows that also start in a document with a smaller doc_id."""
-    windows = candidate_windows(docs, window)
-    least = scratch.keep(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least"))
-    clear_driver_garbage(docs.sparkSession)
-    hit = windows.join(least, ["h1", "h2"]).where("least < doc_id").select("doc_id", "pos")
-    return scratch.keep(hit.groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
+    spark = docs.sparkSession
+    found = scratch.keep(fragments(docs, window))
+    clear_driver_garbage(spark)
+    distinct = scratch.keep(found.where("windows is not null").groupBy("c1", "c2").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("windows").alias("windows")))
+    clear_driver_garbage(spark)
+    listed = _exploded(distinct)
+    first = scratch.keep(listed.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("h1", "h2", "first"))
+    clear_driver_garbage(spark)
+    decided = listed.join(first, ["h1", "h2"]).where("first < most").groupBy("c1", "c2").agg(F.collect_list(F.struct("at", "first")).alias("runs"))
+    decided = scratch.keep(decided)
+    scratch.drop(distinct, first)
+    clear_driver_garbage(spark)
+    hit = found.select("c1", "c2", "doc_id", "pos").join(decided, ["c1", "c2"])
+    places = F.transform(F.filter("runs", lambda r: r["first"] < F.col("doc_id")), lambda r: F.col("pos") + r["at"])
+    out = hit.select("doc_id", places.alias("at")).where(F.size("at") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    out = scratch.keep(out)
+    scratch.drop(found, decided)
+    clear_driver_garbage(spark)
+    return out
 
 
 def _doc_filter(ids: DataFrame) -> DataFrame:
@@ -106,21 +189,30 @@ def may_be_in(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return in_filter(filter_, mix(ids.astype(np.int64).view(np.uint64)), bits=24)
 
 
-def split_by_filter(docs: DataFrame, filter_: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(rows whose id may be in the filter, rows whose id is not in it); null ids are not."""
+def split_by_filter(docs: DataFrame, filter_: np.ndarray, columns: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be in the filter, rows whose id is not in it), of doc_id and text or with all columns; null ids are not."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
+    rows = documents(docs) if columns is None else docs
+    at = rows.columns.index("doc_id")
+
     def part(inside: bool) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = batch.column(0)
+            ids = batch.column(at)
             ok = may_be_in(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
             return batch.filter(pa.array(ok if inside else ~ok))
 
-        return map_batches(documents(docs), run, "doc_id long, text string")
+        return map_batches(rows, run, rows.schema)
 
     return part(True), part(False)
 
 
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is not in ids; only rows that the filter can't clear are shuffled."""
+    some, others = split_by_filter(docs, id_filter(ids), columns="all")
+    return some.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(others)
+
+
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
