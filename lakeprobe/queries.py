@@ -426,7 +426,7 @@ def findings_ranked(spark, sf_dir):
     from .core.results import Settings
     from .plans.runs import findings_frame, quality_checks
 
-    return findings_frame(spark, quality_checks(Table(read(spark, sf_dir, "lineitem"), "lineitem", target="l_returnflag"), Settings()).findings)
+    return findings_frame(spark, quality_checks(Table(with_gaps(read(spark, sf_dir, "lineitem")), "lineitem", target="l_returnflag"), Settings()).findings)
 
 
 @query
