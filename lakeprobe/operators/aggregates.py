@@ -45,7 +45,7 @@ def null_overview(df: DataFrame) -> DataFrame:
 def bias_free_skew(value: Column) -> Column:
     """Adjusted skewness; null for fewer than three values or no spread."""
     n = F.count(value)
-    return F.when((n > 2) & (F.stddev_pop(value) > 0), F.try_divide(F.skewness(value) * F.sqrt(n * (n - 1)), (n - 2).cast("double")))
+    return F.when((n > 2) & (F.min(value) < F.max(value)), F.try_divide(F.skewness(value) * F.sqrt(n * (n - 1)), (n - 2).cast("double")))
 
 
 def moments(value: Column, prefix: str = "") -> list[Column]:

@@ -34,7 +34,8 @@ class Effect(NamedTuple):
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's r of the rows that have both; null if either does not vary there."""
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # the deviation of equal values need not come out as exactly 0
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], least: int = LEAST_PAIRS) -> list[tuple[str, str, int, float | None]]:
@@ -89,11 +90,11 @@ def pearson(df: DataFrame, a: Column, b: Column) -> Effect | None:
 
 def eta_table(df: DataFrame, value: Column, group: Column) -> DataFrame:
     """k groups of two or more values, n values, eta2, f: one row; eta2 and f are null where undefined."""
-    groups = df.select(value.alias("v"), group.alias("g")).where("v is not null and g is not null").groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("w")).where("n >= 2")
-    sums = groups.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("w").alias("within"), F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("grand"))
+    groups = df.select(value.alias("v"), group.alias("g")).where("v is not null and g is not null").groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("w"), F.min("v").alias("low"), F.max("v").alias("high")).where("n >= 2")
+    sums = groups.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("w").alias("within"), (F.min("low") < F.max("high")).alias("varies"), F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("grand"))
     between = groups.crossJoin(sums.select("grand")).agg(F.sum(F.col("n") * (F.col("m") - F.col("grand")) * (F.col("m") - F.col("grand"))).alias("between"))
     both = sums.crossJoin(between)
-    usable = (F.col("k") >= 2) & (F.col("between") + F.col("within") > 0)
+    usable = (F.col("k") >= 2) & F.col("varies")
     f = F.try_divide(F.col("between") / (F.col("k") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("k")))
     return both.select("k", F.coalesce("n", F.lit(0)).alias("n"), F.when(usable, F.try_divide(F.col("between"), F.col("between") + F.col("within"))).alias("eta2"), F.when(usable, f).alias("f"))
 
@@ -139,7 +140,7 @@ def welch_table(df: DataFrame, indicators: dict[str, Column], values: dict[str,
             one = []
             for side, test in (("1", flag), ("0", ~flag)):
                 x = F.when(test, v)
-                one += [F.count(x).alias(f"n{side}"), F.avg(x).alias(f"m{side}"), F.var_samp(x).alias(f"v{side}")]
+                one += [F.count(x).alias(f"n{side}"), F.avg(x).alias(f"m{side}"), F.when(F.min(x) < F.max(x), F.var_samp(x)).otherwise(0.0).alias(f"v{side}")]
             parts.append(F.struct(F.lit(j).alias("indicator"), F.lit(c).alias("value"), *one))
     return df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
 
