@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Jobs inside remove their shuffle files at their end: what they made is a written table or on the driver by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Scratch:
     """Written tables of one query in the shared folder.
 
@@ -38,7 +54,8 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -80,15 +97,25 @@ BLOBS = "bucket int, hashes binary"
 
 
 def hash_blobs(parts: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Hashes, each at most twice, dealt by their top bits to `buckets` (a power of two) blobs."""
+    """Hashes, each at most twice, dealt by their top bits to `buckets` (a power of two) blobs; a blob holds the 40 bits that follow."""
     h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     h.sort()
     if len(h) > 2:
         h = np.concatenate([h[:2], h[2:][h[2:] != h[:-2]]])
-    cuts = np.searchsorted(h >> np.uint64(64 - buckets.bit_length() + 1), np.arange(buckets + 1, dtype=np.uint64))
+    top = buckets.bit_length() - 1
+    cuts = np.searchsorted(h >> np.uint64(64 - top), np.arange(buckets + 1, dtype=np.uint64))
+    kept = ((h << np.uint64(top)) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
     for b in range(buckets):
         if cuts[b] < cuts[b + 1]:
-            yield b, h[cuts[b] : cuts[b + 1]].tobytes()
+            yield b, kept[cuts[b] : cuts[b + 1]].tobytes()
+
+
+def blob_hashes(bucket: int, blob: bytes, buckets: int) -> np.ndarray:
+    """The hashes of a blob, without the bits that it does not hold."""
+    wide = np.zeros((len(blob) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    top = buckets.bit_length() - 1
+    return (wide.view("<u8").ravel() << np.uint64(24 - top)) | np.uint64(bucket << (64 - top))
 
 
 def blob_batch(parts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
@@ -99,14 +126,14 @@ def blob_batch(parts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
 def bucket_count(spark: SparkSession) -> int:
     """Blobs a batch is dealt to: the next power of two from the number of shuffle partitions, so it grows with the cluster's setting."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << min(14, max(4, (n - 1).bit_length()))
+    return 1 << min(12, max(4, (n - 1).bit_length()))
 
 
 def filter_positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two positions of each hash in a filter of 2**bits bits, both in the line of 2**12 bits that its top bits name."""
+    """Two positions of each hash in a filter of 2**bits bits, both in the line of 2**12 bits that its top bits name; the next 24 bits say where."""
     line = (h >> np.uint64(64 - bits + 12)) << np.uint64(12)
     low = np.uint64(4095)
-    return (line | (h & low)), (line | ((h >> np.uint64(12)) & low))
+    return (line | ((h >> np.uint64(64 - bits)) & low)), (line | ((h >> np.uint64(52 - bits)) & low))
 
 
 def in_filter(filter_: np.ndarray, h: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
@@ -132,7 +159,7 @@ def build_filter(blobs: DataFrame, repeated: bool, bits: int = FILTER_BITS) -> n
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for b, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.setdefault(b, []).append(np.frombuffer(h.as_py(), np.uint64))
+                held.setdefault(b, []).append(blob_hashes(b, h.as_py(), buckets))
         for b in sorted(held):
             h = np.concatenate(held.pop(b))
             if repeated:
@@ -148,8 +175,9 @@ def build_filter(blobs: DataFrame, repeated: bool, bits: int = FILTER_BITS) -> n
 
     out = np.zeros((1 << bits) // 8, np.uint8)
     lines = out.reshape(-1, 512)
-    for row in blobs.repartition(buckets, "bucket").mapInArrow(fill, "line int, bits binary").collect():
-        lines[row[0]] |= np.frombuffer(row[1], np.uint8)
+    with shuffles_removed(blobs.sparkSession):
+        for row in blobs.repartition(buckets, "bucket").mapInArrow(fill, "line int, bits binary").collect():
+            lines[row[0]] |= np.frombuffer(row[1], np.uint8)
     return out
 
 
