@@ -15,8 +15,8 @@ A document's set is its distinct shingles of five words.  Two documents link whe
     a group of n similar sets costs about n comparisons and not n*n, while every
     link between components is still looked for without any cap.
 
-Candidates lose those whose 1024-bit parity sketches differ too much for a link (an exact
-bound), and the rest are counted shingle by shingle.
+Candidates lose those whose parity sketches (about a bit a member) differ too much for a
+link, which is an exact bound, and the rest are counted shingle by shingle.
 
 Defined cases: a null text or one without words has an empty set, linked with nothing; fewer
 words than five are one shingle; equal sets link; a null doc_id links with nothing.
@@ -28,14 +28,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, clear_driver_garbage, documents, in_filter, map_batches
+from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, clear_driver_garbage, documents, in_filter, map_batches, shuffles_removed
 from .kernels import fitting, gram_hashes, mix, slices, word_hashes, words
 from .substring_levels import id_filter, may_be_in
 
 SKETCH_BITS = 20
+#: Least bits of a parity sketch; a larger set has as many as the next power of two from its size.
 PARITY_BITS = 1024
 
 
@@ -81,8 +82,9 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
 
     counted = documents(docs).mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for b, raw in counted.collect():
-        out[b : b + block] = np.frombuffer(raw, np.uint64)
+    with shuffles_removed(docs.sparkSession):
+        for b, raw in counted.collect():
+            out[b : b + block] = np.frombuffer(raw, np.uint64)
     return out
 
 
@@ -128,13 +130,15 @@ def sets(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFr
 
             fp1, fp2 = total(mix(h)), total(mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
             typical = total(logs[cell].astype(np.float64)) / np.maximum(1, n)
-            flips = np.bincount(doc * PARITY_BITS + ((h >> np.uint64(10)) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=n_docs * PARITY_BITS)
-            parity = np.packbits((flips & 1).astype(np.uint8).reshape(n_docs, PARITY_BITS), axis=1)
+            bits = np.maximum(PARITY_BITS, 1 << np.ceil(np.log2(np.maximum(1, n))).astype(np.int64))
+            begin = np.concatenate([[0], np.cumsum(bits)])
+            flips = np.bincount(begin[doc] + ((h >> np.uint64(10)).astype(np.int64) & (bits[doc] - 1)), minlength=begin[-1])
+            parity = np.packbits((flips & 1).astype(np.uint8))
             take = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
             cuts = np.concatenate([[0], np.cumsum(take)])
             at = np.arange(cuts[-1]) + np.repeat(bounds[:-1] - cuts[:-1], take)
             prefix = pa.Array.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer((cuts * 8).astype(np.int32).tobytes()), pa.py_buffer(h[at].tobytes())])
-            sketches = pa.Array.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer((np.arange(n_docs + 1) * (PARITY_BITS // 8)).astype(np.int32).tobytes()), pa.py_buffer(parity.tobytes())])
+            sketches = pa.Array.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer((begin // 8).astype(np.int32).tobytes()), pa.py_buffer(parity.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(0)[part.first : part.last], pa.array(n.astype(np.int64)), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(typical.astype(np.float32)), sketches, prefix], names=["doc_id", "n_shingles", "fp1", "fp2", "typical", "parity", "prefix"])
 
     return map_batches(documents(docs), run, _SETS)
@@ -166,6 +170,16 @@ def postings(table: DataFrame) -> DataFrame:
     return map_batches(table.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "typical", "prefix"), run, "token long, doc_id long, n int, pos int, typical float")
 
 
+def parity_difference(x: bytes, y: bytes) -> int:
+    """Members that two sets differ in at least: places at which their sketches, the larger folded to the smaller's size, differ."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def full_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """doc_id and the sorted hashes of its set, of the documents in pairs (and a few others that the fixed-size filter lets pass)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -196,11 +210,10 @@ def verified(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, size: int
     """Written table of the pairs (a, b) that link."""
 
     def may_link(batch: pa.RecordBatch) -> pa.RecordBatch:
-        na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
-        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-        ok = differ <= na + nb - 2 * least_overlap(na + nb, percent)
-        return batch.select([0, 1]).filter(pa.array(ok))
+        total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        most = total - 2 * least_overlap(total, percent)
+        differ = [parity_difference(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        return batch.select([0, 1]).filter(pa.array(np.array(differ, np.int64) <= most))
 
     def link(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
@@ -223,27 +236,32 @@ def verified(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, size: int
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Written table node, root (the least node of its component; roots themselves left out), by alternating large and small stars."""
-    edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    """Written table node, root: the least node of each linked node's component.
+
+    Every node takes the least root among its own and its neighbours'.  From the third
+    round on, roots are replaced by their own roots as well, so long chains need
+    about as many rounds as the logarithm of their length.  A round is one written table; it also
+    counts what has changed, and the last one changes nothing.
+    """
+    one = links.where("a <> b").select("a", "b")
+    edges = scratch.keep(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.keep(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    rounds = 0
     while True:
-        if edges.isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        # large star: greater neighbours go to the least one
-        two = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.keep(two.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = two.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.keep(large)
-        # small star: lesser neighbours and the node go to the least one
-        least2 = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least2.select("u", F.col("m").alias("v"))).distinct()
-        small = scratch.keep(small)
-        new = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(least, large, least2, edges)
-        edges = small
-        if tuple(new) == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = tuple(new)
+        rounds += 1
+        near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), "root", F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "root", F.col("root").alias("old"))
+        new = near.unionByName(own).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
+        if rounds > 2:
+            mid = scratch.keep(new)
+            new = mid.join(mid.select(F.col("node").alias("root"), F.col("root").alias("up")), "root").select("node", F.least("root", "up").alias("root"), "old")
+        changed = Observation()
+        after = scratch.keep(new.observe(changed, F.count_if(F.col("root") != F.col("old")).alias("n")).select("node", "root"))
+        scratch.drop(labels)
+        labels = after
+        if not changed.get["n"]:
+            scratch.drop(edges)
+            return labels
 
 
 def _first_pairs(lists: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
