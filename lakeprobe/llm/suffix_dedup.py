@@ -3,19 +3,20 @@
 A byte string of `window` bytes that also starts in a document with a smaller
 doc_id is removed.  The work is dealt so that equal windows meet in one task:
 
-1.  Each window chooses the least-hashed anchor (16 bytes) inside it, so equal
-    windows choose equal anchors.  A fixed-size filter tells which anchors occur twice.
-2.  Successive windows that chose the same such anchor form a fragment.  Equal
-    fragments are one text with the least and greatest document they occur in, aggregated
-    before they meet, so many copies are one row.
-3.  The distinct fragments are dealt by anchor.  Each task sorts the suffixes of its
-    fragments as deep as the window needs, and takes the transform.  Starting at the
-    empty string, intervals of suffixes are extended backwards by one byte, breadth
-    first: the right end of an interval of strings of length l+1 that nothing has marked
-    is a common prefix of l bytes, so prefixes come by increasing value, and the
-    expansion stops at the window's length.  Suffixes between two marks then have a
-    whole window in common; the least document of such a class decides.
-4.  The decisions go back to the fragments' occurrences and from there to the documents.
+1.  Each window chooses the least-hashed anchor (28 bytes) inside it, so equal
+    windows choose equal anchors.  A fixed-size filter tells which anchors occur twice;
+    successive windows whose anchors do are a region.  Equal regions, such as those of
+    exact copies, become one with the least and greatest document they occur in.
+2.  In distinct regions, successive windows that chose the same (shorter) anchor are a
+    fragment.  Equal fragments are one text for each run of regions, and are dealt by anchor.
+3.  Each task sorts the suffixes of its distinct fragments as deep as the window needs,
+    and takes the transform.  Starting at the empty string, intervals of suffixes are
+    extended backwards by one byte, breadth first: the right end of an interval of
+    strings of length l+1 that nothing has marked is a common prefix of l bytes, so
+    prefixes come by increasing value, and the expansion stops at the window's length.
+    Suffixes between two marks then have a whole window in common; the least document of
+    such a class decides.
+4.  The decisions go back to fragments, regions, their occurrences, and the documents.
 
 Defined cases: a null text is empty; texts shorter than the window keep everything;
 rows without doc_id keep everything; rows that repeat a doc_id are one document's.
@@ -31,19 +32,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, clear_driver_garbage, documents, in_filter, map_batches
+from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, documents, in_filter, map_batches
 from .kernels import Words, byte_gram_hashes, fitting, leftmost_minima, slices, word_hashes
 from .substring_levels import id_filter, split_by_filter
 
-ANCHOR = 16
+#: Bytes of an anchor in a window of 50 (in other windows, in proportion): to find regions, and to deal fragments.
+ANCHOR, SHORT_ANCHOR = 28, 16
 #: Bytes of fragments whose suffixes are sorted at once.
 CHUNK_BYTES = 64 << 10
 _NONE = np.iinfo(np.int64).max
 
 
-def _anchors(part, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(part, window: int, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of windows that fit, the anchor each has chosen, and the hashes of all anchors."""
-    size = min(ANCHOR, window)
+    size = max(1, anchor * window // 50)
     g = byte_gram_hashes(part.data, size)
     low = leftmost_minima(g, window - size + 1)
     starts = np.flatnonzero(fitting(part.offsets, window, len(low)))
@@ -64,14 +66,32 @@ def _anchor_blobs(docs: DataFrame, window: int) -> DataFrame:
     return map_batches(documents(docs), run, BLOBS)
 
 
-_FRAGMENTS = "c1 long, c2 long, doc_id long, pos long, anchor long, least long, most long, bytes binary"
+def _held_by_leads(part, a: np.ndarray, b: np.ndarray, least: np.ndarray, most: np.ndarray):
+    """Hashes of the byte ranges, and for the first of equal ones their bytes with the least and most over all of them; null for others."""
+    c1, c2 = (word_hashes(part, Words(a, b, a[:0]), seed=s) for s in (1, 2))
+    _, once, back = np.unique(c1, return_index=True, return_inverse=True)
+    low, high = np.full(len(once), _NONE), np.full(len(once), np.iinfo(np.int64).min)
+    np.minimum.at(low, back, least)
+    np.maximum.at(high, back, most)
+    lead = np.zeros(len(a), bool)
+    lead[once] = True
+    sizes = np.where(lead, b - a, 0)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    raw = part.data[np.arange(bounds[-1]) + np.repeat(a - bounds[:-1], sizes)]
+    held = pa.py_buffer(np.packbits(lead, bitorder="little").tobytes())
+    text = pa.Array.from_buffers(pa.binary(), len(a), [held, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+    only = lambda x: pa.array(x, pa.int64(), mask=~lead)
+    return pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), only(low[back]), only(high[back]), text, only
 
 
-def fragments(docs: DataFrame, window: int) -> DataFrame:
-    """Every occurrence of every fragment: its 128-bit hash, document and place.
+_REGIONS = "c1 long, c2 long, doc_id long, pos long, least long, most long, bytes binary"
 
-    The first occurrence in a run of documents also has the fragment's bytes, its
-    anchor and the least and greatest document of that run.
+
+def regions(docs: DataFrame, window: int) -> DataFrame:
+    """Every run of successive windows whose anchors may occur twice: its 128-bit hash, document and place.
+
+    The first of equal regions in a run of documents also has the bytes, and the
+    least and greatest document of that run.
     """
     shared = docs.sparkSession.sparkContext.broadcast(build_filter(_anchor_blobs(docs, window), repeated=True))
 
@@ -83,35 +103,41 @@ def fragments(docs: DataFrame, window: int) -> DataFrame:
                 continue
             first = np.flatnonzero(np.diff(low, prepend=-1))
             n = np.diff(np.concatenate([first, [len(low)]]))
-            seen = in_filter(shared.value, g[low[first]])
-            first, n = first[seen], n[seen]
-            if not len(first):
+            at = starts[np.repeat(in_filter(shared.value, g[low[first]]), n)]
+            if not len(at):
                 continue
-            a = starts[first]
-            b = a + n + window - 1
-            c1, c2 = (word_hashes(part, Words(a, b, a[:0]), seed=s) for s in (1, 2))
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+            a, b = at[begin], at[np.concatenate([begin[1:], [len(at)]]) - 1] + window
             place = np.searchsorted(part.offsets, a, side="right") - 1
             doc = ids[part.first + place]
-            _, once, back = np.unique(c1, return_index=True, return_inverse=True)
-            least, most = np.full(len(once), _NONE), np.full(len(once), np.iinfo(np.int64).min)
-            np.minimum.at(least, back, doc)
-            np.maximum.at(most, back, doc)
-            lead = np.zeros(len(a), bool)
-            lead[once] = True
-            sizes = np.where(lead, b - a, 0)
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            raw = part.data[np.arange(bounds[-1]) + np.repeat(a - bounds[:-1], sizes)]
-            mask = pa.array(lead)
-            held = pa.py_buffer(np.packbits(lead, bitorder="little").tobytes())
-            text = pa.Array.from_buffers(pa.binary(), len(a), [held, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            c1, c2, least, most, text, _ = _held_by_leads(part, a, b, doc, doc)
+            yield pa.RecordBatch.from_arrays([c1, c2, pa.array(doc), pa.array(a - part.offsets[place]), least, most, text], names=["c1", "c2", "doc_id", "pos", "least", "most", "bytes"])
+
+    return map_batches(documents(docs.where(F.col("doc_id").isNotNull())), run, _REGIONS)
 
-            def only_lead(values: np.ndarray, lead=lead) -> pa.Array:
-                return pa.array(values, pa.int64(), mask=~lead)
 
-            yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(doc), pa.array(a - part.offsets[place]), only_lead(g[low[first]].view(np.int64)), only_lead(least[back]), only_lead(most[back]), text], names=["c1", "c2", "doc_id", "pos", "anchor", "least", "most", "bytes"])
-            del mask
+_FRAGMENTS = "r1 long, r2 long, at int, c1 long, c2 long, anchor long, least long, most long, bytes binary"
+
+
+def fragments(distinct: DataFrame, window: int) -> DataFrame:
+    """Fragments of distinct regions: region (r1, r2), place there, hash; bytes and anchor at the first of equal ones in a run of regions."""
+
+    def run(batch: pa.RecordBatch):
+        least, most = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        for part in slices(batch.column(4)):
+            starts, low, g = _anchors(part, window, SHORT_ANCHOR)
+            first = np.flatnonzero(np.diff(low, prepend=-1))
+            if not len(first):
+                continue
+            n = np.diff(np.concatenate([first, [len(low)]]))
+            a = starts[first]
+            region = np.searchsorted(part.offsets, a, side="right") - 1
+            row = part.first + region
+            c1, c2, lowest, highest, text, only = _held_by_leads(part, a, a + n + window - 1, least[row], most[row])
+            own = batch.select([0, 1]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array((a - part.offsets[region]).astype(np.int32)), c1, c2, only(g[low[first]].view(np.int64)), lowest, highest, text], names=["r1", "r2", "at", "c1", "c2", "anchor", "least", "most", "bytes"])
 
-    return map_batches(documents(docs.where(F.col("doc_id").isNotNull())), run, _FRAGMENTS)
+    return map_batches(distinct.select("c1", "c2", "least", "most", "bytes"), run, _FRAGMENTS)
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -195,7 +221,12 @@ _RUNS = pa.struct([("from", pa.int64()), ("to", pa.int64()), ("least", pa.int64(
 
 def _decide(rows: list[pa.RecordBatch], window: int) -> pa.RecordBatch | None:
     table = pa.Table.from_batches(rows).combine_chunks()
-    c1, c2, least, most = (table[k].to_numpy() for k in ("c1", "c2", "least", "most"))
+    _, once, back = np.unique(table["c1"].to_numpy(), return_index=True, return_inverse=True)
+    least, most = np.full(len(once), _NONE), np.full(len(once), np.iinfo(np.int64).min)
+    np.minimum.at(least, back, table["least"].to_numpy())
+    np.maximum.at(most, back, table["most"].to_numpy())
+    table = table.take(pa.array(once))
+    c1, c2 = (table[k].to_numpy() for k in ("c1", "c2"))
     text, low = window_classes(table["bytes"].to_pylist(), least, window)
     if not len(text):
         return None
@@ -211,9 +242,11 @@ def _decide(rows: list[pa.RecordBatch], window: int) -> pa.RecordBatch | None:
 
 
 def decisions(found: DataFrame, window: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per distinct fragment, runs of its windows [from, to) with the least document that has them, where it is smaller than some document of the fragment."""
-    distinct = found.where("bytes is not null").groupBy("c1", "c2").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes"))
-    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor")
+    """Per distinct fragment, runs of its windows [from, to) with the least document that has them, where it is smaller than some document of the fragment.
+
+    Fragments come here once for each run of regions that has them, so even one that a third of all documents share is few rows.
+    """
+    dealt = found.where("bytes is not null").select("c1", "c2", "anchor", "least", "most", "bytes").repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches):
         held, size = [], 0
@@ -238,20 +271,39 @@ def decisions(found: DataFrame, window: int, chunk_bytes: int = CHUNK_BYTES) ->
             if out is not None:
                 yield out
 
-    return dealt.select("c1", "c2", "anchor", "least", "most", "bytes").mapInArrow(run, _DECISIONS)
+    return dealt.mapInArrow(run, _DECISIONS)
+
+
+def _joined_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A region's runs in order, neighbours with one least document put together."""
+    out = []
+    for runs in batch.column(2).to_pylist():
+        held: list[dict] = []
+        for r in sorted(runs, key=lambda r: r["from"]):
+            if held and held[-1]["least"] == r["least"] and held[-1]["to"] == r["from"]:
+                held[-1]["to"] = r["to"]
+            else:
+                held.append(dict(r))
+        out.append(held)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(_RUNS))], names=["c1", "c2", "runs"])
 
 
 def removed_spans(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """Written table: doc_id, spans (start, end in bytes; they may overlap)."""
-    spark = docs.sparkSession
-    found = scratch.keep(fragments(docs, window))
-    clear_driver_garbage(spark)
+    places = scratch.keep(regions(docs, window))
+    texts = scratch.keep(places.where("bytes is not null").groupBy("c1", "c2").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("bytes").alias("bytes")))
+    found = scratch.keep(fragments(texts, window))
+    scratch.drop(texts)
     decided = scratch.keep(decisions(found, window))
-    clear_driver_garbage(spark)
-    hit = found.select("c1", "c2", "doc_id", "pos").join(decided, ["c1", "c2"])
-    spans = F.transform(F.filter("runs", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct((F.col("pos") + r["from"]).alias("a"), (F.col("pos") + r["to"] - 1 + window).alias("b")))
-    out = scratch.keep(hit.select("doc_id", F.explode(spans).alias("s")).groupBy("doc_id").agg(F.collect_list("s").alias("spans")))
+    moved = F.transform("runs", lambda r: F.struct((F.col("at") + r["from"]).alias("from"), (F.col("at") + r["to"]).alias("to"), r["least"].alias("least")))
+    back = found.select("r1", "r2", "at", "c1", "c2").join(decided, ["c1", "c2"]).select("r1", "r2", moved.alias("runs"))
+    whole = back.groupBy("r1", "r2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    judged = scratch.keep(map_batches(whole, _joined_runs, _DECISIONS))
     scratch.drop(found, decided)
+    hit = places.select("c1", "c2", "doc_id", "pos").join(judged, ["c1", "c2"])
+    spans = F.transform(F.filter("runs", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct((F.col("pos") + r["from"]).alias("a"), (F.col("pos") + r["to"] - 1 + window).alias("b")))
+    out = scratch.keep(hit.select("doc_id", spans.alias("s")).where(F.size("s") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans")))
+    scratch.drop(places, judged)
     return out
 
 
