@@ -3,7 +3,7 @@
 A byte string of `window` bytes that also starts in a document with a smaller
 doc_id is removed.  The work is dealt so that equal windows meet in one task:
 
-1.  Each window chooses the least-hashed anchor (28 bytes) inside it, so equal
+1.  Each window chooses the least-hashed anchor (36 bytes) inside it, so equal
     windows choose equal anchors.  A fixed-size filter tells which anchors occur twice;
     successive windows whose anchors do are a region.  Equal regions, such as those of
     exact copies, become one with the least and greatest document they occur in.
@@ -37,7 +37,7 @@ from .kernels import Words, byte_gram_hashes, fitting, leftmost_minima, slices,
 from .substring_levels import id_filter, split_by_filter
 
 #: Bytes of an anchor in a window of 50 (in other windows, in proportion): to find regions, and to deal fragments.
-ANCHOR, SHORT_ANCHOR = 28, 16
+ANCHOR, SHORT_ANCHOR = 36, 16
 #: Bytes of fragments whose suffixes are sorted at once.
 CHUNK_BYTES = 64 << 10
 _NONE = np.iinfo(np.int64).max
@@ -297,9 +297,11 @@ def removed_spans(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     decided = scratch.keep(decisions(found, window))
     moved = F.transform("runs", lambda r: F.struct((F.col("at") + r["from"]).alias("from"), (F.col("at") + r["to"]).alias("to"), r["least"].alias("least")))
     back = found.select("r1", "r2", "at", "c1", "c2").join(decided, ["c1", "c2"]).select("r1", "r2", moved.alias("runs"))
+    back = scratch.keep(back)
+    scratch.drop(found, decided)
     whole = back.groupBy("r1", "r2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     judged = scratch.keep(map_batches(whole, _joined_runs, _DECISIONS))
-    scratch.drop(found, decided)
+    scratch.drop(back)
     hit = places.select("c1", "c2", "doc_id", "pos").join(judged, ["c1", "c2"])
     spans = F.transform(F.filter("runs", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct((F.col("pos") + r["from"]).alias("a"), (F.col("pos") + r["to"] - 1 + window).alias("b")))
     out = scratch.keep(hit.select("doc_id", spans.alias("s")).where(F.size("s") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans")))
