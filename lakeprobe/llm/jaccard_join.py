@@ -18,6 +18,10 @@ A document's set is its distinct shingles of five words.  Two documents link whe
 Candidates lose those whose parity sketches (about a bit a member) differ too much for a
 link, which is an exact bound, and the rest are counted shingle by shingle.
 
+The number of links of each document is exact too.  Links never leave a component, equal sets
+are counted as one class with its size, and the classes of a component are compared with each
+other, all of them, in chunks; only sums leave a comparison, so no row is made for a pair.
+
 Defined cases: a null text or one without words has an empty set, linked with nothing; fewer
 words than five are one shingle; equal sets link; a null doc_id links with nothing.
 """
@@ -25,10 +29,11 @@ words than five are one shingle; equal sets link; a null doc_id links with nothi
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, clear_driver_garbage, documents, in_filter, map_batches, shuffles_removed
@@ -295,10 +300,9 @@ def _other_pairs(lists: DataFrame, roots: DataFrame, done: DataFrame, percent: i
     return out
 
 
-def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
+def _roots(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Written tables: doc_id, n_shingles, fp1, fp2 and parity of each document, and the root of each linked one."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
     table = scratch.keep(sets(docs, size, percent, _sketch(docs, size)))
     lists = scratch.keep(postings(table))
     clear_driver_garbage(spark)
@@ -313,4 +317,132 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if not second.isEmpty():
         more = verified(docs, second, signatures, size, percent, scratch)
         roots = connected(links.unionByName(more), scratch)
+    return signatures, roots
+
+
+def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
+    signatures, roots = _roots(docs, size, percent, Scratch(docs.sparkSession, "jaccard"))
     return signatures.select("doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+#: About the most sets and members of a chunk, and the chunk pairs of one Arrow batch.
+CHUNK_SETS, CHUNK_MEMBERS, PAIR_ROWS = 128, 1 << 16, 32
+
+
+def chunk_links(x: tuple, y: tuple, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that each set of chunk x links with in chunk y, and the other way round.
+
+    A chunk is its distinct members in order, the places among them of each set's members, the
+    sets' sizes, and how many documents have each set.  With `same`, no set meets itself.
+    """
+    (vx, ix, nx, cx), (vy, iy, ny, cy) = x, y
+    _, ax, ay = np.intersect1d(vx, vy, assume_unique=True, return_indices=True)
+
+    def cells(values, index, sizes, at):
+        column = np.full(len(values), -1, np.int64)
+        column[at] = np.arange(len(at))
+        column = column[index]
+        row = np.repeat(np.arange(len(sizes)), sizes)[column >= 0]
+        column = column[column >= 0]
+        order = np.argsort(column, kind="stable")
+        return row[order], column[order]
+
+    (rx, kx), (ry, ky) = cells(vx, ix, nx, ax), cells(vy, iy, ny, ay)
+    both = np.zeros((len(nx), len(ny)), np.float32)
+    step = 4096
+    for b in range(0, len(ax), step):
+        width = min(step, len(ax) - b)
+        sides = []
+        for r, k, n in ((rx, kx, len(nx)), (ry, ky, len(ny))):
+            dense = np.zeros((n, width), np.float32)
+            here = slice(*np.searchsorted(k, [b, b + width]))
+            dense[r[here], k[here] - b] = 1
+            sides.append(dense)
+        both += sides[0] @ sides[1].T
+    k = both.astype(np.int64)
+    linked = 100 * k >= percent * (nx[:, None] + ny[None, :] - k)
+    if same:
+        np.fill_diagonal(linked, False)
+    return linked @ cy, cx @ linked
+
+
+def _counted(docs: DataFrame, reps: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Written table rep, links: documents with another set that links to each class; reps: rep, n_shingles, copies, root."""
+    spark = docs.sparkSession
+    many = reps.groupBy("root").agg(F.count("*").alias("classes")).where("classes > 1").select("root")
+    reps = scratch.keep(reps.join(many, "root").withColumn("block", F.floor(F.log("n_shingles") / math.log(101 / percent)).cast("int")))
+    groups = scratch.keep(reps.groupBy("root", "block").agg(F.ceil(F.greatest(F.count("*") / CHUNK_SETS, F.sum("n_shingles") / CHUNK_MEMBERS)).cast("int").alias("k")))
+    members = full_sets(docs, reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")), size)
+    placed = reps.join(groups, ["root", "block"]).select("root", "block", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("i"), "rep", "copies")
+    held = placed.join(members, F.col("rep") == F.col("doc_id")).groupBy("root", "block", "i").agg(F.collect_list(F.struct("rep", "copies", "members")).alias("sets"))
+
+    def pack(batch: pa.RecordBatch):
+        for k, found in enumerate(batch.column(3)):
+            rows = found.as_py()
+            sizes = np.array([len(r["members"]) // 8 for r in rows], np.int64)
+            values, index = np.unique(np.frombuffer(b"".join(r["members"] for r in rows), np.uint64), return_inverse=True)
+            wide = np.uint16 if len(values) <= 1 << 16 else np.uint32
+            ids, copies = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "copies"))
+            blobs = [x.tobytes() for x in (ids, copies, sizes, values, index.astype(wide))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c)[k : k + 1] for c in range(3)), *(pa.array([b], pa.binary()) for b in blobs)], names=["root", "block", "i", *names])
+
+    names = ["ids", "copies", "sizes", "vocabulary", "places"]
+    with _few_rows(spark):
+        chunks = scratch.keep(map_batches(held, pack, "root long, block int, i int, " + ", ".join(f"{c} binary" for c in names)))
+    scratch.drop(reps)
+    other = groups.select(F.col("root").alias("r"), F.col("block").alias("block_y"), F.col("k").alias("k_y"))
+    # the sets of a block link within it and, with larger ones, in the next
+    meet = groups.join(other, (F.col("root") == F.col("r")) & F.col("block_y").between(F.col("block"), F.col("block") + 1))
+    meet = meet.select("root", "block", "block_y", "k_y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    meet = meet.select("root", "block", "block_y", "i", F.explode(F.sequence(F.lit(0), F.col("k_y") - 1)).alias("j")).where("block <> block_y or i <= j")
+    x = chunks.select("root", "block", "i", F.struct(*names).alias("x"))
+    y = chunks.select("root", F.col("block").alias("block_y"), F.col("i").alias("j"), F.struct(*names).alias("y"))
+    pairs = meet.join(x, ["root", "block", "i"]).join(y, ["root", "block_y", "j"]).select(((F.col("block") == F.col("block_y")) & (F.col("i") == F.col("j"))).alias("same"), "x", "y")
+
+    def chunk(c: dict) -> tuple:
+        values = np.frombuffer(c["vocabulary"], np.uint64)
+        index = np.frombuffer(c["places"], np.uint16 if len(values) <= 1 << 16 else np.uint32)
+        return values, index, np.frombuffer(c["sizes"], np.int64), np.frombuffer(c["copies"], np.int64)
+
+    def count(batch: pa.RecordBatch):
+        ids, sums = [], []
+        for same, a, b in zip(*batch.columns, strict=True):
+            same, a, b = same.as_py(), a.as_py(), b.as_py()
+            of_x, of_y = chunk_links(chunk(a), chunk(b), same, percent)
+            for c, n in ((a, of_x),) if same else ((a, of_x), (b, of_y)):
+                ids.append(np.frombuffer(c["ids"], np.int64)[n > 0])
+                sums.append(n[n > 0])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sums))], names=["rep", "links"])
+
+    with _few_rows(spark):
+        found = scratch.keep(map_batches(pairs, count, "rep long, links long"))
+    scratch.drop(groups, chunks)
+    clear_driver_garbage(spark)
+    return found.groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+@contextmanager
+def _few_rows(spark: SparkSession):
+    """Arrow batches inside have PAIR_ROWS rows at most, as a row is a chunk or two."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(PAIR_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (the number of other documents that it links with)."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    signatures, roots = _roots(docs, size, percent, scratch)
+    key = ["n_shingles", "fp1", "fp2"]
+    classes = signatures.where("doc_id is not null and n_shingles > 0").groupBy(key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = scratch.keep(classes.join(roots, F.col("rep") == F.col("node")).select(*key, "rep", "copies", "root"))
+    counted = _counted(docs, reps.select("rep", "n_shingles", "copies", "root"), size, percent, scratch)
+    own = reps.join(counted, "rep", "left").select(*key, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("own"))
+    out = signatures.select("doc_id", *key).join(roots, F.col("doc_id") == F.col("node"), "left").join(own, key, "left")
+    n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("own", F.lit(0))).cast("long")
+    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), n_links.alias("n_links"))

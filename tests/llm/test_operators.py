@@ -310,6 +310,29 @@ def test_a_hub_joins_sets_that_do_not_link_with_each_other(spark):
     assert {r["component_id"] for r in jaccard_join.components(d).collect()} == {0}
 
 
+@pytest.mark.parametrize("percent", [80, 50])
+@pytest.mark.parametrize("chunk", [128, 3])
+def test_links_equal_brute_force(spark, monkeypatch, chunk, percent):
+    """Near copies of which some link with each other and some only through the first, copies of them, and other texts."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", chunk)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(160)]
+    texts = [base, ["one"], ["one"], ["a", "b"], [], None]
+    for k in range(30):
+        w = list(base[: rng.choice([160, 150, 125])])
+        for at in rng.sample(range(len(w)), rng.choice([0, 1, 2, 3])):
+            w[at] = f"n{k}"
+        texts += [w] * rng.choice([1, 1, 3])
+    data = [(i, None if t is None else " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: set() if not t else {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for i, t in enumerate(texts)}
+    n = {i: sum(i != j and bool(b) and 100 * len(a & b) >= percent * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    d = spark.createDataFrame([*data, (None, "one")], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.links(d, percent=percent).collect()}
+    whole = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(d, percent=percent).collect()}
+    assert got.pop(None)[2] == 0
+    assert {i: v[2] for i, v in got.items()} == n and all(whole[i] == v[:2] for i, v in got.items())
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(10)
     for size_a, size_b in ((1024, 1024), (4096, 1024)):
