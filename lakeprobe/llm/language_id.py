@@ -10,8 +10,10 @@ punctuation marks are one symbol each.  A long text is parsed in blocks of
 BLOCK bytes, all of them; a phrase ends at a block's end, in every language.
 
 The training text is a bounded sample: at most `documents_per_language` documents
-of each of the `most_languages` commonest languages, the first of each bucket of a
-hash, and `bytes_each` bytes of each.  Predictions read whole texts.
+of every language, the first of each bucket of a hash, and `bytes_each` bytes of each.
+Where all languages would have more than `most_bytes` together, each has an equal share
+of them: fewer documents, and fewer bytes of one only when it has a single document left.
+Predictions read whole texts.
 
 Defined cases: `und` with score 0 for a null text, one without a letter, or when
 there is no training text; equal languages go to the first by name.
@@ -149,12 +151,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def sample_texts(docs: DataFrame, documents_per_language: int = 64, bytes_each: int = 384, most_languages: int = 64) -> tuple[tuple[str, bytes], ...]:
-    """Training text of each language; its size depends on the three parameters alone."""
+def sample_texts(docs: DataFrame, documents_per_language: int = 64, bytes_each: int = 384, most_bytes: int = 64 * 64 * 384) -> tuple[tuple[str, bytes], ...]:
+    """Training text of each language; its size depends on the three parameters alone (and is a byte a language at least)."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    common = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    share = most_bytes // max(1, labelled.agg(F.count_distinct("lang")).first()[0])
+    documents_per_language = max(1, min(documents_per_language, share // bytes_each))
+    bytes_each = max(1, min(bytes_each, share))
     place = F.xxhash64("doc_id")
-    chosen = labelled.where(F.col("lang").isin(common)).groupBy("lang", F.pmod(place, F.lit(documents_per_language)).alias("bucket")).agg(F.min(F.struct(place.alias("h"), "doc_id")).alias("first")).select("first.doc_id").collect()
+    chosen = labelled.groupBy("lang", F.pmod(place, F.lit(documents_per_language)).alias("bucket")).agg(F.min(F.struct(place.alias("h"), "doc_id")).alias("first")).select("first.doc_id").collect()
     ids = sorted({r[0] for r in chosen})
     rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, bytes_each).alias("text")).collect() if ids else []
     out: dict[str, list[bytes]] = {}

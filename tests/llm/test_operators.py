@@ -216,6 +216,20 @@ def test_language_of_held_out_documents(spark):
     assert language_id.keep_identified(odd, (("en", b"the and of"),)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(12)
+    data = []
+    for k in range(90):
+        letters = [chr(0x4E00 + 20 * k + j) for j in range(20)]
+        data += [(i, "".join(rng.choice(letters) for _ in range(40)), f"l{k}") for i in range(20 * k, 20 * k + 20)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    for most in (64 * 64 * 384, 90 * 400):
+        texts = language_id.sample_texts(d, most_bytes=most)
+        assert len(texts) == 90 and sum(len(t) for _, t in texts) <= most
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(d, language_id.sample_texts(d)).collect()}
+    assert sum(got[i] == lang for i, _, lang in data) > 0.98 * len(data)
+
+
 # --- 4
 
 
