@@ -13,7 +13,8 @@ The training text is a bounded sample: at most `documents_per_language` document
 of every language, the first of each bucket of a hash, and `bytes_each` bytes of each.
 Where all languages would have more than `most_bytes` together, each has an equal share
 of them: fewer documents, and fewer bytes of one only when it has a single document left.
-Predictions read whole texts.
+The bytes of a longer text are PIECES pieces from hashed places, one in each equal part of it,
+so an opening that many texts share is not all that is learned.  Predictions read whole texts.
 
 Defined cases: `und` with score 0 for a null text, one without a letter, or when
 there is no training text; equal languages go to the first by name.
@@ -33,6 +34,8 @@ from .common import documents, map_batches
 from .kernels import slices
 
 BLOCK = 1024
+#: Pieces that a document's training bytes are taken in.
+PIECES = 4
 _BLANK, _DIGIT, _MARK = 0x20, 0x30, 0x2E
 
 
@@ -160,11 +163,20 @@ def sample_texts(docs: DataFrame, documents_per_language: int = 64, bytes_each:
     place = F.xxhash64("doc_id")
     chosen = labelled.groupBy("lang", F.pmod(place, F.lit(documents_per_language)).alias("bucket")).agg(F.min(F.struct(place.alias("h"), "doc_id")).alias("first")).select("first.doc_id").collect()
     ids = sorted({r[0] for r in chosen})
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", 1, bytes_each).alias("text")).collect() if ids else []
+    pieces = PIECES if bytes_each >= 16 * PIECES else 1
+    size = bytes_each // pieces
+
+    def piece(k: int) -> Column:
+        start, end = (F.floor(F.length("text") * n / pieces).cast("int") for n in (k, k + 1))
+        return F.substring("text", start + 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), end - start - size + 1)).cast("int"), F.least(F.lit(size), end - start))
+
+    taken = F.when(F.octet_length("text") <= bytes_each, F.array("text")).otherwise(F.array(*map(piece, range(pieces))))
+    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", taken.alias("taken")).collect() if ids else []
     out: dict[str, list[bytes]] = {}
-    for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        raw = text.lower().encode()[:bytes_each]
-        out.setdefault(lang, []).append(SYMBOLS[np.frombuffer(raw, np.uint8)].tobytes())
+    for lang, _, texts in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        for text in texts:
+            raw = text.lower().encode()[: bytes_each if len(texts) == 1 else size]
+            out.setdefault(lang, []).append(SYMBOLS[np.frombuffer(raw, np.uint8)].tobytes())
     return tuple((k, b" ".join(v)) for k, v in sorted(out.items()) if len(v) or k)
 
 

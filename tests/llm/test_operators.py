@@ -230,6 +230,16 @@ def test_every_language_is_learned(spark):
     assert sum(got[i] == lang for i, _, lang in data) > 0.98 * len(data)
 
 
+def test_training_reads_beyond_a_shared_opening(spark):
+    header = "all of these texts open with one and the same long licence " * 8
+    rng = random.Random(13)
+    body = {lang: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(50)] for lang, letters in (("x", "abcde"), ("y", "vwxyz"))}
+    data = [(i, header + " ".join(rng.choice(body[lang]) for _ in range(300)), lang) for i, lang in enumerate(["x", "y"] * 60)]
+    texts = language_id.sample_texts(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    for lang, text in texts:
+        assert len(text) <= 64 * (384 + language_id.PIECES) and sum(w.encode() in text for w in body[lang]) == 50
+
+
 # --- 4
 
 
