@@ -1,10 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Every shard (a run of documents inside one partition) stores the postings of its
-tokens: term -> increasing token positions.  A phrase is answered from its rarest
+Every shard (a slice of documents inside one partition) gets the postings of those of its
+tokens that the queries hold: term -> increasing token positions.  They live as long as
+the slice is searched; nothing of them is stored.  A phrase is answered from its rarest
 term in that shard: its list, shifted by the term's offset, gives the candidate
-starts; the lists of the other terms, rarest first, are intersected with them at
-their own offsets.  Proximity matches take the same lists in order with gaps.
+starts; the other terms, rarest first, are looked up at their own offsets in the
+term of each position, which is what intersecting their lists would leave.
+
+`postings` writes the full index as a table and `near_matches` finds words in order with
+gaps by a scan of its own; `matches` and `keep_clean` use neither.
 
 The test items are a stated query set.  They are read in blocks of bounded size,
 and each block is searched against all documents; any number of blocks keeps the
