@@ -6,6 +6,10 @@ take in their archive.  An audit compares the roots of two replicas and goes dow
 only where hashes differ, so it reads as many nodes as there are faults, times
 the height, times FAN.
 
+With `placement`, a leaf also has a digest of its records' archives, offsets and lengths, and nodes
+hash both, so a record that lies elsewhere is found too.  Without it, replicas may be packed
+differently: a record that is missing moves all those after it in its archive.
+
 All of it is DataFrame functions.  A node has at most FAN children, so no group is
 unbounded, and the trees are written tables that several audits can use.
 
@@ -70,10 +74,13 @@ def _height(*tables: DataFrame) -> int:
     return n
 
 
-def tree(found: DataFrame, height: int, scratch: Scratch) -> Tree:
-    """Written Merkle tree over the keys of records()."""
+def tree(found: DataFrame, height: int, scratch: Scratch, placement: bool = False) -> Tree:
+    """Written Merkle tree over the keys of records(); with `placement`, a leaf's digest is two, of what its records hold and of where each lies."""
+    digest = F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("digest"))), 256)
+    if placement:
+        digest = F.concat_ws(":", digest, F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", "digest", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("archive", "offset", "length")))))), 256))
     level = scratch.keep(
-        found.groupBy(F.col("key").alias("node")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("digest"))), 256).alias("digest"), F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("archive").alias("archive"))
+        found.groupBy(F.col("key").alias("node")).agg(digest.alias("digest"), F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("archive").alias("archive"))
     )
     nodes = level.withColumn("level", F.lit(0))
     for n in range(1, height + 1):
@@ -99,12 +106,12 @@ def mismatches(a: Tree, b: Tree, level: int, within: DataFrame | None) -> DataFr
     return both.where(~F.col("x").eqNullSafe(F.col("y"))).select("node", "x", "y")
 
 
-def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """page_id, status (changed, missing, extra), archive, offset, length: the records of the left replica that the right one does not hold as they are, and its extra ones (with its own offsets)."""
+def audit(left: DataFrame, right: DataFrame, placement: bool = False) -> DataFrame:
+    """page_id, status (changed, missing, extra; with `placement` also moved: the same bytes elsewhere), archive, offset, length: the records of the left replica that the right one does not hold as they are, and its extra ones (with its own offsets)."""
     scratch = Scratch(left.sparkSession, "fixity")
     left, right = scratch.keep(left), scratch.keep(right)
     height = _height(left, right)
-    a, b = tree(left, height, scratch), tree(right, height, scratch)
+    a, b = tree(left, height, scratch, placement), tree(right, height, scratch, placement)
     within = None
     if a.root() == b.root():
         within = a.level(0).select("node").limit(0)
@@ -112,7 +119,10 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         for level in range(height, 0, -1):
             within = scratch.keep(mismatches(a, b, level, within))
     leaves = mismatches(a, b, 0, within)
-    status = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("changed")
+    status = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra")
+    if placement:
+        status = status.when(F.substring_index("x", ":", 1) == F.substring_index("y", ":", 1), "moved")
+    status = status.otherwise("changed")
     place = a.level(0).withColumn("own", F.lit(True)).unionByName(b.level(0).withColumn("own", F.lit(False)))
     found = leaves.select("node", status.alias("status"), F.col("x").isNotNull().alias("own"))
     return found.join(place.select("node", "own", "archive", "start", "end"), ["node", "own"]).select(F.col("node").alias("page_id"), "status", "archive", F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"))

@@ -276,6 +276,18 @@ def test_audit_finds_changed_missing_and_extra(spark):
     assert fixity.records(none).count() == 1
 
 
+def test_placement_is_audited(spark):
+    schema = "key long, archive long, offset long, length long, digest string"
+    here = [(i, i // 50, i % 50 * 10, 10, f"d{i}") for i in range(100)]
+    there = [(k, 7 if k == 60 else a, o + 5 if k in (3, 4) else o, n, "other" if k in (4, 80) else d) for k, a, o, n, d in here if k != 90]
+    a, b = spark.createDataFrame(here, schema), spark.createDataFrame(there, schema)
+    faults = {4: "changed", 80: "changed", 90: "missing"}
+    assert {r["page_id"]: r["status"] for r in fixity.audit(a, b, placement=True).collect()} == faults | {3: "moved", 60: "moved"}
+    assert {r["page_id"]: r["status"] for r in fixity.audit(a, b).collect()} == faults
+    moved = a.withColumn("offset", F.col("offset") + 1)
+    assert fixity.audit(a, moved, placement=True).count() == 100 and fixity.audit(a, a, placement=True).count() == 0
+
+
 # --- 7
 
 
