@@ -183,49 +183,47 @@ def sample_texts(docs: DataFrame, documents_per_language: int = 64, bytes_each:
 SCHEMA = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
 
+def _languages(column: pa.Array, texts: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and bits of each text, and whether it has a letter."""
+    n = len(column)
+    names, score, bits = np.full(n, "und", object), np.zeros(n), np.zeros(n)
+    text = pc.fill_null(column, "")
+    letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
+    if texts:
+        parser = _parser(texts)
+        for part in slices(pc.utf8_lower(text)):
+            size = np.maximum(1, np.diff(part.offsets))
+            cost = parser.phrases(part.data, part.offsets) * parser.weights / size[:, None]
+            best = cost.argmin(1)
+            here = slice(part.first, part.last)
+            names[here] = np.array(parser.languages, object)[best]
+            bits[here] = cost.min(1)
+            if len(parser.languages) > 1:
+                two = np.partition(cost, 1, axis=1)[:, :2]
+                score[here] = two[:, 1] / np.maximum(two.sum(1), 1e-300)
+            else:
+                score[here] = 1.0
+        names[~letters], score[~letters], bits[~letters] = "und", 0.0, 0.0
+    return names, score, bits, letters
+
+
 def identify(docs: DataFrame, texts: tuple[tuple[str, bytes], ...]) -> DataFrame:
     """doc_id, lang_pred, score (the runner-up's bits over those of both), bits_per_byte of the winner."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = batch.num_rows
-        names, score, bits = np.full(n, "und", object), np.zeros(n), np.zeros(n)
-        if texts:
-            parser = _parser(texts)
-            text = pc.fill_null(batch.column(1), "")
-            letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
-            for part in slices(pc.utf8_lower(text)):
-                size = np.maximum(1, np.diff(part.offsets))
-                cost = parser.phrases(part.data, part.offsets) * parser.weights / size[:, None]
-                best = cost.argmin(1)
-                here = slice(part.first, part.last)
-                names[here] = np.array(parser.languages, object)[best]
-                bits[here] = cost.min(1)
-                if len(parser.languages) > 1:
-                    two = np.partition(cost, 1, axis=1)[:, :2]
-                    score[here] = two[:, 1] / np.maximum(two.sum(1), 1e-300)
-                else:
-                    score[here] = 1.0
-            names[~letters], score[~letters], bits[~letters] = "und", 0.0, 0.0
+        names, score, bits, _ = _languages(batch.column(1), texts)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(bits)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return map_batches(documents(docs), run, SCHEMA)
 
 
 def keep_identified(docs: DataFrame, texts: tuple[tuple[str, bytes], ...]) -> DataFrame:
-    """The rows whose text has a language; those with `und` go.  Columns stay as they are."""
+    """The rows whose text identify() gives a language, or with a letter where there is no training text.  Columns stay as they are."""
     schema = docs.schema
     at = schema.names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = pc.fill_null(batch.column(at), "")
-        if not texts:
-            return batch.slice(0, 0)
-        parser = _parser(texts)
-        keep = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False).copy()
-        for part in slices(pc.utf8_lower(text)):
-            size = np.maximum(1, np.diff(part.offsets))
-            # a text none of whose phrases is longer than a byte shares nothing with any language
-            keep[part.first : part.last] &= parser.phrases(part.data, part.offsets).min(1) < np.maximum(2, size)
-        return batch.filter(pa.array(keep))
+        names, _, _, letters = _languages(batch.column(at), texts)
+        return batch.filter(pa.array((names != "und") | letters))
 
     return map_batches(docs, run, schema)

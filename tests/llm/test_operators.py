@@ -240,6 +240,12 @@ def test_training_reads_beyond_a_shared_opening(spark):
         assert len(text) <= 64 * (384 + language_id.PIECES) and sum(w.encode() in text for w in body[lang]) == 50
 
 
+def test_only_texts_without_a_letter_are_rejected(spark):
+    d = spark.createDataFrame([(1, None), (2, "12 !"), (3, "qz"), (4, "\u6f22\u5b57"), (5, "the and of")], "doc_id long, text string")
+    for texts in ((("en", b"the and of"),), ()):
+        assert sorted(r["doc_id"] for r in language_id.keep_identified(d, texts).collect()) == [3, 4, 5]
+
+
 # --- 4
 
 
