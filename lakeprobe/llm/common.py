@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import send_package
+from .kernels import mix
 
 #: Rows of one Arrow batch; documents of 20 kB then make batches of about 40 MB.
 BATCH_ROWS = 2000
@@ -44,12 +45,20 @@ class Scratch:
     """Written tables of one query in the shared folder.
 
     A written table cuts the lineage: an executor that is lost later costs only
-    the tasks that were on it.  `drop` removes a table nothing reads any more.
+    the tasks that were on it.  `drop` removes a table nothing reads any more; what results
+    are read from goes when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        path, files = self._files(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, path: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -61,10 +70,9 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._files(t._scratch_path)
+            files.delete(path, True)
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
@@ -92,13 +100,21 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
-FILTER_BITS = 27
+#: Bits of a filter, and of the planes in which a first occurrence is noted (of all buckets together), unless the session says otherwise.
+FILTER_BITS, PLANE_BITS = 27, 33
+FILTER_SETTING, PLANE_SETTING = "spark.lakeprobe.filterBits", "spark.lakeprobe.planeBits"
 BLOBS = "bucket int, hashes binary"
+_ROUND = np.uint64(0x5851F42D4C957F2D)
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Another hash of each: those chosen as the least of several would crowd the low buckets and lines of a filter."""
+    return mix(h ^ _ROUND)
 
 
 def hash_blobs(parts: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Hashes, each at most twice, dealt by their top bits to `buckets` (a power of two) blobs; a blob holds the 40 bits that follow."""
-    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    """Hashes, spread, each at most twice, dealt by their top bits to `buckets` (a power of two) blobs; a blob holds the 40 bits that follow."""
+    h = spread(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
     h.sort()
     if len(h) > 2:
         h = np.concatenate([h[:2], h[2:][h[2:] != h[:-2]]])
@@ -111,7 +127,7 @@ def hash_blobs(parts: list[np.ndarray], buckets: int) -> Iterator[tuple[int, byt
 
 
 def blob_hashes(bucket: int, blob: bytes, buckets: int) -> np.ndarray:
-    """The hashes of a blob, without the bits that it does not hold."""
+    """The hashes of a blob in order, without the bits that it does not hold."""
     wide = np.zeros((len(blob) // 5, 8), np.uint8)
     wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
     top = buckets.bit_length() - 1
@@ -129,61 +145,114 @@ def bucket_count(spark: SparkSession) -> int:
     return 1 << min(12, max(4, (n - 1).bit_length()))
 
 
-def filter_positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two positions of each hash in a filter of 2**bits bits, both in the line of 2**12 bits that its top bits name; the next 24 bits say where."""
+def _positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two positions of each spread hash in a filter of 2**bits bits, both in the line of 2**12 bits that its top bits name; the next 24 bits say where."""
     line = (h >> np.uint64(64 - bits + 12)) << np.uint64(12)
     low = np.uint64(4095)
     return (line | ((h >> np.uint64(64 - bits)) & low)), (line | ((h >> np.uint64(52 - bits)) & low))
 
 
-def in_filter(filter_: np.ndarray, h: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+def _bits_at(plane: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (plane[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _set_bits(plane: np.ndarray, p: np.ndarray) -> None:
+    np.bitwise_or.at(plane, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+
+
+def in_filter(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each hash may have been put in; never false for one that was."""
+    bits = (8 * len(filter_)).bit_length() - 1
     out = np.ones(len(h), bool)
-    for p in filter_positions(h, bits):
-        out &= (filter_[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    for p in _positions(spread(h), bits):
+        out &= _bits_at(filter_, p)
     return out
 
 
-def build_filter(blobs: DataFrame, repeated: bool, bits: int = FILTER_BITS) -> np.ndarray:
-    """Filter of 2**bits bits, whatever the input's size, over the hashes in blobs.
+def build_filter(blobs: DataFrame, repeated: bool, bits: int | None = None) -> np.ndarray:
+    """Filter over the hashes in blobs (bucket int, hashes binary, as hash_blobs deals them), of 2**bits bits, by default as the session sets it.
 
-    blobs: bucket int, hashes binary, as hash_blobs deals them.  With `repeated`,
-    only hashes that occur twice go in.  A full filter lets more pass, so it costs
-    time but no result.  Each bucket fills its own range of the filter, so the
-    driver gets at most the filter and only puts its lines in place.
+    With `repeated`, only hashes that occur twice go in.  Each bucket has a task of its own, which
+    keeps no hash: a first occurrence sets a bit in the bucket's plane, and one whose bit
+    is set goes into the bucket's lines of the filter.  A full plane or filter lets more pass, so it costs
+    time but no result.  The driver gets at most the filter and only puts its lines in place.
     """
-    buckets = bucket_count(blobs.sparkSession)
-    per = (1 << bits - 12) // buckets
+    spark = blobs.sparkSession
+    bits = bits or int(spark.conf.get(FILTER_SETTING, str(FILTER_BITS)))
+    buckets = bucket_count(spark)
+    per, top = (1 << bits - 12) // buckets, buckets.bit_length() - 1
+    plane_bits = min(40, max(16, int(spark.conf.get(PLANE_SETTING, str(PLANE_BITS))) - top))
 
     def fill(batches):
-        held: dict[int, list[np.ndarray]] = {}
+        planes: dict[int, np.ndarray] = {}
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.setdefault(b, []).append(blob_hashes(b, h.as_py(), buckets))
-        for b in sorted(held):
-            h = np.concatenate(held.pop(b))
-            if repeated:
-                h.sort()
-                h = h[1:][h[1:] == h[:-1]]
-            part = np.zeros(per * 512, np.uint8)
-            for p in filter_positions(h, bits):
-                at = p - np.uint64(b * per * 4096)
-                np.bitwise_or.at(part, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-            lines = part.reshape(-1, 512)
-            some = np.flatnonzero(lines.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some + b * per, pa.int32()), pa.array([x.tobytes() for x in lines[some]], pa.binary())], names=["line", "bits"])
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = blob_hashes(b, blob.as_py(), buckets)
+                part = found.setdefault(b, np.zeros(per * 512, np.uint8))
+                if repeated:
+                    plane = planes.setdefault(b, np.zeros((1 << plane_bits) // 8, np.uint8))
+                    cell = (h << np.uint64(top)) >> np.uint64(64 - plane_bits)
+                    again = _bits_at(plane, cell)
+                    again[1:] |= h[1:] == h[:-1]
+                    _set_bits(plane, cell)
+                    h = h[again]
+                for p in _positions(h, bits):
+                    _set_bits(part, p - np.uint64(b * per * 4096))
+        for b, part in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["bucket", "lines"])
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    lines = out.reshape(-1, 512)
-    with shuffles_removed(blobs.sparkSession):
-        for row in blobs.repartition(buckets, "bucket").mapInArrow(fill, "line int, bits binary").collect():
-            lines[row[0]] |= np.frombuffer(row[1], np.uint8)
+    with shuffles_removed(spark):
+        for b, lines in blobs.repartitionById(buckets, "bucket").mapInArrow(fill, "bucket int, lines binary").collect():
+            out[b * per * 512 : (b + 1) * per * 512] = np.frombuffer(pa.decompress(bytes(lines), per * 512, "zstd"), np.uint8)
+    return out
+
+
+def with_key(docs: DataFrame, *more: str) -> DataFrame:
+    """documents() with `key`, a hash of the text: doc_id and key tell rows with one doc_id and different texts apart."""
+    text = F.col("text").cast("string")
+    return documents(docs, F.xxhash64(text).alias("key"), *more)
+
+
+def _id_hashes(columns: list[pa.Array]) -> np.ndarray:
+    """A hash of each row's ids; nulls count as 0."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mix(out ^ c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
     return out
 
 
-def clear_driver_garbage(spark: SparkSession) -> None:
-    """Lets the context cleaner remove shuffle files whose plans are gone."""
-    import gc
+def id_filter(ids: DataFrame, *columns: str) -> np.ndarray:
+    """Filter over the values of the (long) columns; its size does not depend on their number."""
+    buckets = bucket_count(ids.sparkSession)
+    return build_filter(map_batches(ids.select(*columns), lambda batch: blob_batch([_id_hashes(batch.columns)], buckets), BLOBS), repeated=False)
+
+
+def may_be_in(filter_: np.ndarray, *columns: pa.Array) -> np.ndarray:
+    return in_filter(filter_, _id_hashes(list(columns)))
+
+
+def split_by_filter(rows: DataFrame, ids: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose values in the columns may be in ids, rows whose are not), so that only the former need be shuffled; those with a null are not."""
+    columns = columns or ("doc_id", "key")
+    shared = rows.sparkSession.sparkContext.broadcast(id_filter(ids, *columns))
+    places = [rows.columns.index(c) for c in columns]
+
+    def part(inside: bool) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [batch.column(k) for k in places]
+            ok = may_be_in(shared.value, *found)
+            for c in found:
+                ok &= c.is_valid().to_numpy(zero_copy_only=False)
+            return batch.filter(pa.array(ok if inside else ~ok))
+
+        return map_batches(rows, run, rows.schema)
+
+    return part(True), part(False)
+
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def without(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose values in the columns are not in ids; only those that a filter can't clear are shuffled."""
+    some, others = split_by_filter(rows, ids, *columns)
+    return some.join(ids.select(*columns), list(columns), "left_anti").select(rows.columns).unionByName(others)

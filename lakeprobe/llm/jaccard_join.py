@@ -36,9 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, clear_driver_garbage, documents, in_filter, map_batches, shuffles_removed
+from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, documents, id_filter, in_filter, map_batches, may_be_in, shuffles_removed
 from .kernels import fitting, gram_hashes, mix, slices, word_hashes, words
-from .substring_levels import id_filter, may_be_in
 
 SKETCH_BITS = 20
 #: Least bits of a parity sketch; a larger set has as many as the next power of two from its size.
@@ -188,11 +187,11 @@ def parity_difference(x: bytes, y: bytes) -> int:
 def full_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """doc_id and the sorted hashes of its set, of the documents in pairs (and a few others that the fixed-size filter lets pass)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc_id"))
 
     def run(batch: pa.RecordBatch):
         id_ = batch.column(0)
-        batch = batch.filter(pa.array(may_be_in(shared.value, id_.to_numpy(zero_copy_only=False))))
+        batch = batch.filter(pa.array(may_be_in(shared.value, id_)))
         if not batch.num_rows:
             return
         for part in slices(batch.column(1)):
@@ -236,7 +235,6 @@ def verified(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, size: int
     both = near.join(members.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").join(members.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
     out = scratch.keep(map_batches(both.select("a", "b", "ma", "mb"), link, "a long, b long").distinct())
     scratch.drop(near, members)
-    clear_driver_garbage(docs.sparkSession)
     return out
 
 
@@ -305,15 +303,12 @@ def _roots(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[
     spark = docs.sparkSession
     table = scratch.keep(sets(docs, size, percent, _sketch(docs, size)))
     lists = scratch.keep(postings(table))
-    clear_driver_garbage(spark)
     signatures = scratch.keep(table.select("doc_id", "n_shingles", "fp1", "fp2", "parity"))
     scratch.drop(table)
     first = _first_pairs(lists, percent, scratch)
-    clear_driver_garbage(spark)
     links = verified(docs, first, signatures, size, percent, scratch)
     roots = connected(links, scratch)
     second = _other_pairs(lists, roots, first, percent, scratch)
-    clear_driver_garbage(spark)
     if not second.isEmpty():
         more = verified(docs, second, signatures, size, percent, scratch)
         roots = connected(links.unionByName(more), scratch)
@@ -418,7 +413,6 @@ def _counted(docs: DataFrame, reps: DataFrame, size: int, percent: int, scratch:
     with _few_rows(spark):
         found = scratch.keep(map_batches(pairs, count, "rep long, links long"))
     scratch.drop(groups, chunks)
-    clear_driver_garbage(spark)
     return found.groupBy("rep").agg(F.sum("links").alias("links"))
 
 

@@ -16,9 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: Positions whose hashes are made at once: so many fit into a core's cache.
+BLOCK = 1 << 15
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_S33 = np.uint64(33)
-_WORD_BASE, _GRAM_BASE = 0x9E3779B97F4A7C13, 0xD1342543DE82EF93
+_S33, _S32 = np.uint64(33), np.uint64(32)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the first 0..8 bytes of a little-endian word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,27 +36,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=16)
-def _byte_values(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+def _keys(seed: int) -> tuple[np.uint64, np.uint64, np.uint64]:
+    """What tells the hashes of one seed from those of another: a start, an odd factor and a summand."""
+    a, b, c = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**64 - 1, 3, dtype=np.uint64)
+    return a, b | np.uint64(1), c
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def _pair(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of two hashes in order."""
+    _, factor, summand = _keys(seed)
+    out = x * factor
+    out ^= (y << _S32) | (y >> _S32)
+    out += summand
+    return mix(out)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (int(n) - 1).bit_length())
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        np.cumprod(out, out=out)
-        _POWERS[base] = have = out
-    return have[:n]
-
-
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+def _loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as one number, zeros after the end."""
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
 
 def byte_class(inside: bytes | None = None, outside: bytes | None = None) -> np.ndarray:
@@ -143,47 +144,106 @@ def words(part: Slice, table: np.ndarray = BLANK_SEPARATED) -> Words:
     return Words(starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, part.offsets))
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hash of each range of bytes: its blocks of eight bytes, each mixed with a key of its place, added up and mixed with the length."""
+    start, factor, summand = _keys(seed)
+    lengths = ends - starts
+    loads = _loads(data)
+    sums = mix((loads[starts] & _MASKS[np.minimum(lengths, 8)]) ^ start)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        counts = (lengths[long] - 1) >> 3
+        first = np.cumsum(counts) - counts
+        row = np.repeat(long, counts)
+        k = np.arange(len(row)) - np.repeat(first, counts) + 1
+        at = starts[row] + 8 * k
+        key = mix(start + k.astype(np.uint64) * _STEP)
+        sums[long] += np.add.reduceat(mix((loads[at] & _MASKS[np.minimum(ends[row] - at, 8)]) ^ key), first)
+    return mix(sums * factor + lengths.astype(np.uint64) * _STEP + summand)
+
+
 def word_hashes(part: Slice, w: Words, fold: bool = False, seed: int = 1) -> np.ndarray:
     """64-bit hash of each word; fold lower-cases A-Z first."""
-    n = len(part.data)
     if not len(w.starts):
         return np.zeros(0, np.uint64)
-    table = _byte_values(seed)
-    if fold:
-        table = table[LOWER]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(table[part.data] * powers(_WORD_BASE, n), out=sums[1:])
-    out = (sums[w.ends] - sums[w.starts]) * powers(_inverse(_WORD_BASE), n)[w.starts]
-    return mix(out ^ (w.ends - w.starts).astype(np.uint64))
+    return range_hashes(LOWER[part.data] if fold else part.data, w.starts, w.ends, seed)
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, there: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether each range of `a` from `at` holds the bytes of the one of `b` from `there`."""
+    x, y = _loads(a), _loads(b)
+    mask = _MASKS[np.minimum(lengths, 8)]
+    if ((x[at] & mask) != (y[there] & mask)).any():
+        return False
+    long = np.flatnonzero(lengths > 8)
+    if not len(long):
+        return True
+    counts = (lengths[long] - 1) >> 3
+    row = np.repeat(long, counts)
+    step = 8 * (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + 1)
+    mask = _MASKS[np.minimum(lengths[row] - step, 8)]
+    return bool(((x[at[row] + step] & mask) == (y[there[row] + step] & mask)).all())
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the ranges one after the other, and where each begins (one more than ranges)."""
+    lengths = ends - starts
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    return data[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], lengths)], bounds
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte range, equal for equal bytes only, and a range that has each number.
+
+    Ranges are grouped by hash and their bytes compared; if a hash should have two texts, all are told apart by their bytes.
+    """
+    _, codes = np.unique(range_hashes(data, starts, ends), return_inverse=True)
+    lead = np.zeros(int(codes.max()) + 1 if len(codes) else 0, np.int64)
+    lead[codes] = np.arange(len(codes))
+    own = lead[codes]
+    if ((ends - starts) == (ends - starts)[own]).all() and same_bytes(data, starts, data, starts[own], ends - starts):
+        return codes, lead
+    raw, bounds = gathered(data, starts, ends)
+    codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode().indices.to_numpy()
+    lead = np.zeros(int(codes.max()) + 1, np.int64)
+    lead[codes] = np.arange(len(codes))
+    return codes, lead
 
 
 def first_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Up to eight first bytes of each range as one number, mixed with its length."""
-    wide = np.concatenate([data, np.zeros(8, np.uint8)])
-    loads = np.ndarray((len(data) + 1,), np.dtype("<u8"), wide, 0, (1,))
-    lengths = np.minimum(ends - starts, 8).astype(np.uint64)
-    mask = np.where(lengths == 8, np.uint64(2**64 - 1), (np.uint64(1) << (lengths * np.uint64(8))) - np.uint64(1))
-    return (loads[starts] & mask) ^ ((ends - starts).astype(np.uint64) << np.uint64(40))
+    return (_loads(data)[starts] & _MASKS[np.minimum(ends - starts, 8)]) ^ ((ends - starts).astype(np.uint64) << np.uint64(40))
+
+
+def _doubled(h: np.ndarray, width: int, size: int, seed: int) -> np.ndarray:
+    """Hashes of `size` items from hashes of `width` items at each position: doubled while that fits, then two that overlap."""
+    count = len(h) + width - size
+    while width * 2 <= size:
+        h = _pair(h[: len(h) - width], h[width:], seed)
+        width *= 2
+    return h if width == size else _pair(h[:count], h[size - width : size - width + count], seed)
 
 
 def byte_gram_hashes(data: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     """Hash of the `size` bytes from each position (only those that fit into data)."""
-    n = len(data)
-    if n < size:
+    n = len(data) - size + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_values(seed)[data] * powers(_WORD_BASE, n), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * powers(_inverse(_WORD_BASE), n)[: n - size + 1])
-
-
-def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` successive values from each position, over the whole array."""
-    n = len(values)
-    if n < size:
+    start = _keys(seed)[0]
+    loads, width = _loads(data), min(size, 8)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, BLOCK):
+        b = min(n, a + BLOCK)
+        base = mix((loads[a : b + size - width] & _MASKS[width]) ^ start)
+        out[a:b] = _doubled(base, width, size, seed)
+    return out
+
+
+def gram_hashes(values: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
+    """Hash of the `size` successive hashes from each position, over the whole array."""
+    if len(values) < size:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(_GRAM_BASE, n), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * powers(_inverse(_GRAM_BASE), n)[: n - size + 1])
+    return mix(values ^ _keys(seed)[0]) if size == 1 else _doubled(values, 1, size, seed)
 
 
 def fitting(bounds: np.ndarray, size: int, n: int) -> np.ndarray:

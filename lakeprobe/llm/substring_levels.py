@@ -2,11 +2,12 @@
 
 Windows that repeat at one length alone are extended to twice that length.
 
-Level one looks at windows of half the length.  It need not list all of them: of
-the half-length windows inside each full window the one with the least hash is chosen,
-so equal full windows choose equal halves, and only chosen halves are counted.
-A fixed-size filter tells which halves occur twice.  Level two looks at the
-full windows whose chosen half does.  Successive ones that chose the same half are a
+The lengths are a quarter of the wanted window, half of it, and all of it.  A level need not list
+every window of its length: of those inside each full window the one with the least hash is
+chosen, so equal full windows choose equal ones, and only chosen ones are counted.
+A fixed-size filter tells which of them occur twice.  The next level looks only at the full windows
+whose choice does, and doubling ends as soon as a level leaves none.  At the full length nothing is
+left out: successive windows that made the same choice are a
 fragment; equal fragments are counted once with the least and greatest document
 they occur in, and the windows of distinct fragments, by 128-bit hash, find the
 least document that has them.  `levels` goes on doubling for callers who want the longest repeats.
@@ -17,7 +18,9 @@ are aggregated before they are shuffled, and the join that brings the least
 document back to the windows is one whose large partitions Spark splits.
 
 Defined cases: a null text has no words; documents shorter than a window keep
-everything; rows that repeat a doc_id are judged as one document's and come back as often.
+everything; rows without doc_id keep everything; rows that repeat a doc_id are judged as one
+document's, and each loses only its own words; equal texts of different ids lose all but
+the least id's; very long texts are cut nowhere; other columns don't get in.
 """
 
 from __future__ import annotations
@@ -30,93 +33,113 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, clear_driver_garbage, documents, in_filter, map_batches
+from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, documents, in_filter, map_batches, split_by_filter, with_key
 from .kernels import fitting, gram_hashes, leftmost_minima, mix, slices, word_hashes, words
 
 
-def chosen_halves(h: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the windows that fit, the start of the half each has chosen, and the hashes of all halves."""
+def lengths_to(window: int) -> list[int]:
+    """The lengths of the levels before the full one: a quarter of it and half of it, rounded up."""
     half = -(-window // 2)
-    halves = gram_hashes(h, half)
-    low = leftmost_minima(halves, window - half + 1)
-    starts = np.flatnonzero(fitting(bounds, window, len(low)))
-    return starts, low[starts], halves
+    return [-(-half // 2), half]
 
 
-def _half_blobs(docs: DataFrame, window: int) -> DataFrame:
-    buckets = bucket_count(docs.sparkSession)
+def chosen(h: np.ndarray, starts: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the full windows at `starts` the place of the window of `length` each has chosen, and the hashes of all windows of that length."""
+    grams = gram_hashes(h, length)
+    return leftmost_minima(grams, window - length + 1)[starts], grams
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = []
-        for part in slices(batch.column(1)):
-            w = words(part)
-            _, low, halves = chosen_halves(word_hashes(part, w), w.bounds, window)
-            if len(low):
-                parts.append(halves[low[np.flatnonzero(np.diff(low, prepend=-1))]])
-        return blob_batch(parts, buckets)
 
-    return map_batches(documents(docs), run, BLOBS)
+def survivors(h: np.ndarray, bounds: np.ndarray, window: int, filters: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the full windows whose choices at all levels may occur twice, and their places of the last choice."""
+    starts = np.flatnonzero(fitting(bounds, window, max(0, len(h) - window + 1)))
+    low = starts
+    for length, filter_ in filters:
+        if not len(starts):
+            break
+        low, grams = chosen(h, starts, window, length)
+        first = np.flatnonzero(np.diff(low, prepend=-1))
+        seen = np.repeat(in_filter(filter_, grams[low[first]]), np.diff(np.append(first, len(low))))
+        starts, low = starts[seen], low[seen]
+    return starts, low
 
 
-def candidate_windows(docs: DataFrame, window: int) -> DataFrame:
-    """h1, h2, doc_id, pos of the windows whose chosen half may occur twice."""
+def level_filters(docs: DataFrame, window: int) -> list[tuple[int, np.ndarray]]:
+    """For each level before the full one a filter of the windows that occur twice among those the levels before it leave."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(build_filter(_half_blobs(docs, window), repeated=True))
+    buckets = bucket_count(spark)
+    found: list[tuple[int, np.ndarray]] = []
+    for length in lengths_to(window):
+        shared = spark.sparkContext.broadcast(found)
+
+        def run(batch: pa.RecordBatch, shared=shared, length=length) -> pa.RecordBatch:
+            parts = []
+            for part in slices(batch.column(1)):
+                w = words(part)
+                h = word_hashes(part, w)
+                starts, _ = survivors(h, w.bounds, window, shared.value)
+                if len(starts):
+                    low, grams = chosen(h, starts, window, length)
+                    parts.append(grams[low[np.flatnonzero(np.diff(low, prepend=-1))]])
+            return blob_batch(parts, buckets)
+
+        found = [*found, (length, build_filter(map_batches(documents(docs), run, BLOBS), repeated=True))]
+        shared.unpersist()
+        if not found[-1][1].any():
+            break
+    return found
+
+
+def candidate_windows(docs: DataFrame, window: int) -> DataFrame:
+    """h1, h2, doc_id, pos of the full windows that survive all levels."""
+    shared = docs.sparkSession.sparkContext.broadcast(level_filters(docs, window))
 
     def run(batch: pa.RecordBatch):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for part in slices(batch.column(1)):
             w = words(part)
             h = word_hashes(part, w)
-            starts, low, halves = chosen_halves(h, w.bounds, window)
-            if not len(starts):
-                continue
-            first = np.flatnonzero(np.diff(low, prepend=-1))
-            seen = np.repeat(in_filter(shared.value, halves[low[first]]), np.diff(np.concatenate([first, [len(low)]])))
-            at = starts[seen]
+            at, _ = survivors(h, w.bounds, window, shared.value)
             if len(at):
                 doc = np.searchsorted(w.bounds, at, side="right") - 1
-                h2 = gram_hashes(mix(word_hashes(part, w, seed=2)), window)[at]
+                h2 = gram_hashes(word_hashes(part, w, seed=2), window, seed=2)[at]
                 yield pa.RecordBatch.from_arrays([pa.array(gram_hashes(h, window)[at].view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[part.first + doc].astype(np.int64)), pa.array((at - w.bounds[doc]).astype(np.int32))], names=["h1", "h2", "doc_id", "pos"])
 
     return map_batches(documents(docs.where(F.col("doc_id").isNotNull())), run, "h1 long, h2 long, doc_id long, pos int")
 
 
-_FRAGMENTS = "c1 long, c2 long, doc_id long, pos int, least long, most long, windows binary"
+_FRAGMENTS = "c1 long, c2 long, doc_id long, key long, pos int, least long, most long, windows binary"
 
 
 def fragments(docs: DataFrame, window: int) -> DataFrame:
-    """Occurrences of fragments: successive full windows that chose the same half, if it may occur twice.
+    """Occurrences of fragments: successive full windows that survive all levels and made the same last choice.
 
     c1, c2 are the 128-bit hash of a fragment's words.  Its first occurrence in a
     run of documents also has the hashes of its windows (h1, h2 after h1, h2) and the
     least and greatest document of that run.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build_filter(_half_blobs(docs, window), repeated=True))
+    shared = docs.sparkSession.sparkContext.broadcast(level_filters(docs, window))
 
     def run(batch: pa.RecordBatch):
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, keys = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
         for part in slices(batch.column(1)):
             w = words(part)
             h = word_hashes(part, w)
-            starts, low, halves = chosen_halves(h, w.bounds, window)
-            if not len(starts):
-                continue
-            first = np.flatnonzero(np.diff(low, prepend=-1))
-            n = np.diff(np.concatenate([first, [len(low)]]))
-            seen = in_filter(shared.value, halves[low[first]])
-            first, n = first[seen], n[seen]
-            if not len(first):
+            at, low = survivors(h, w.bounds, window, shared.value)
+            if not len(at):
                 continue
-            g1, g2 = gram_hashes(h, window), gram_hashes(mix(word_hashes(part, w, seed=2)), window)
-            a = starts[first]
+            first = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(low, prepend=-1) != 0))
+            n = np.diff(np.append(first, len(at)))
+            a = at[first]
+            g1, g2 = gram_hashes(h, window), gram_hashes(word_hashes(part, w, seed=2), window, seed=2)
             # the hash of a fragment is that of its first and last window and its length
             last = a + n - 1
-            c1 = mix(g1[a] * np.uint64(3) + g2[last] + n.astype(np.uint64))
-            c2 = mix(g2[a] * np.uint64(5) + g1[last])
+            c1 = mix(g1[a] * np.uint64(3) + mix(g1[last] + n.astype(np.uint64)))
+            c2 = mix(g2[a] * np.uint64(5) + mix(g2[last] ^ n.astype(np.uint64)))
             place = np.searchsorted(w.bounds, a, side="right") - 1
             doc = ids[part.first + place]
             _, once, back = np.unique(c1, return_index=True, return_inverse=True)
+            if (c2 != c2[once][back]).any():  # different fragments with one hash: each is a lead of its own
+                once = back = np.arange(len(a))
             least, most = np.full(len(once), np.iinfo(np.int64).max), np.full(len(once), np.iinfo(np.int64).min)
             np.minimum.at(least, back, doc)
             np.maximum.at(most, back, doc)
@@ -124,13 +147,14 @@ def fragments(docs: DataFrame, window: int) -> DataFrame:
             lead[once] = True
             sizes = np.where(lead, n, 0)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
-            at = np.arange(bounds[-1]) + np.repeat(a - bounds[:-1], sizes)
-            raw = np.stack([g1[at], g2[at]], 1)
+            listed = np.arange(bounds[-1]) + np.repeat(a - bounds[:-1], sizes)
+            raw = np.stack([g1[listed], g2[listed]], 1)
             held = pa.py_buffer(np.packbits(lead, bitorder="little").tobytes())
-            listed = pa.Array.from_buffers(pa.binary(), len(a), [held, pa.py_buffer((bounds * 16).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(doc), pa.array((a - w.bounds[place]).astype(np.int32)), pa.array(least[back], pa.int64(), mask=~lead), pa.array(most[back], pa.int64(), mask=~lead), listed], names=["c1", "c2", "doc_id", "pos", "least", "most", "windows"])
+            windows = pa.Array.from_buffers(pa.binary(), len(a), [held, pa.py_buffer((bounds * 16).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            columns = [pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(doc), pa.array(keys[part.first + place]), pa.array((a - w.bounds[place]).astype(np.int32)), pa.array(least[back], pa.int64(), mask=~lead), pa.array(most[back], pa.int64(), mask=~lead), windows]
+            yield pa.RecordBatch.from_arrays(columns, names=["c1", "c2", "doc_id", "key", "pos", "least", "most", "windows"])
 
-    return map_batches(documents(docs.where(F.col("doc_id").isNotNull())), run, _FRAGMENTS)
+    return map_batches(with_key(docs.where(F.col("doc_id").isNotNull())), run, _FRAGMENTS)
 
 
 def _exploded(distinct: DataFrame) -> DataFrame:
@@ -149,70 +173,22 @@ def _exploded(distinct: DataFrame) -> DataFrame:
 
 
 def removed_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """Written table: doc_id and the starts of its windows that also start in a document with a smaller doc_id."""
-    spark = docs.sparkSession
+    """Written table: doc_id, key (the hash of a row's text) and the starts of its windows that also start in a document with a smaller doc_id."""
     found = scratch.keep(fragments(docs, window))
-    clear_driver_garbage(spark)
     distinct = scratch.keep(found.where("windows is not null").groupBy("c1", "c2").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("windows").alias("windows")))
-    clear_driver_garbage(spark)
     listed = _exploded(distinct)
     first = scratch.keep(listed.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("h1", "h2", "first"))
-    clear_driver_garbage(spark)
     decided = listed.join(first, ["h1", "h2"]).where("first < most").groupBy("c1", "c2").agg(F.collect_list(F.struct("at", "first")).alias("runs"))
     decided = scratch.keep(decided)
     scratch.drop(distinct, first)
-    clear_driver_garbage(spark)
-    hit = found.select("c1", "c2", "doc_id", "pos").join(decided, ["c1", "c2"])
+    hit = found.select("c1", "c2", "doc_id", "key", "pos").join(decided, ["c1", "c2"])
     places = F.transform(F.filter("runs", lambda r: r["first"] < F.col("doc_id")), lambda r: F.col("pos") + r["at"])
-    out = hit.select("doc_id", places.alias("at")).where(F.size("at") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    out = hit.select("doc_id", "key", places.alias("at")).where(F.size("at") > 0).groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
     out = scratch.keep(out)
     scratch.drop(found, decided)
-    clear_driver_garbage(spark)
     return out
 
 
-def _doc_filter(ids: DataFrame) -> DataFrame:
-    buckets = bucket_count(ids.sparkSession)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return blob_batch([mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))], buckets)
-
-    return map_batches(ids.select("doc_id"), run, BLOBS)
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """Filter over the doc_ids of a table; its size does not depend on them."""
-    return build_filter(_doc_filter(ids), repeated=False, bits=24)
-
-
-def may_be_in(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return in_filter(filter_, mix(ids.astype(np.int64).view(np.uint64)), bits=24)
-
-
-def split_by_filter(docs: DataFrame, filter_: np.ndarray, columns: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows whose id may be in the filter, rows whose id is not in it), of doc_id and text or with all columns; null ids are not."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
-
-    rows = documents(docs) if columns is None else docs
-    at = rows.columns.index("doc_id")
-
-    def part(inside: bool) -> DataFrame:
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = batch.column(at)
-            ok = may_be_in(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            return batch.filter(pa.array(ok if inside else ~ok))
-
-        return map_batches(rows, run, rows.schema)
-
-    return part(True), part(False)
-
-
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is not in ids; only rows that the filter can't clear are shuffled."""
-    some, others = split_by_filter(docs, id_filter(ids), columns="all")
-    return some.join(ids.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(others)
-
-
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
@@ -245,13 +221,12 @@ def deduplicate(docs: DataFrame, window: int = 50, digest: bool = False) -> Data
 
     digest: kept_text is the lower-case SHA-256 of that text.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "levels")
+    scratch = Scratch(docs.sparkSession, "levels")
     removed = removed_windows(docs, window, scratch)
-    some, others = split_by_filter(docs, id_filter(removed))
-    joined = some.join(removed, "doc_id", "left").select("doc_id", "text", "at")
+    some, others = split_by_filter(with_key(docs), removed)
+    joined = some.join(removed, ["doc_id", "key"], "left").select("doc_id", "text", "at")
     done = map_batches(joined, lambda b: kept_words(b, window, digest), SCHEMA)
-    return done.unionByName(map_batches(others, lambda b: kept_words(b, window, digest), SCHEMA))
+    return done.unionByName(map_batches(others.select("doc_id", "text"), lambda b: kept_words(b, window, digest), SCHEMA))
 
 
 def levels(docs: DataFrame, start: int = 25, most: int | None = None) -> DataFrame:

@@ -3,28 +3,35 @@
 A byte string of `window` bytes that also starts in a document with a smaller
 doc_id is removed.  The work is dealt so that equal windows meet in one task:
 
-1.  Each window chooses the least-hashed anchor (36 bytes) inside it, so equal
+1.  Each window chooses the least-hashed anchor (28 bytes) inside it, so equal
     windows choose equal anchors.  A fixed-size filter tells which anchors occur twice;
     successive windows whose anchors do are a region.  Equal regions, such as those of
     exact copies, become one with the least and greatest document they occur in.
 2.  In distinct regions, successive windows that chose the same (shorter) anchor are a
     fragment.  Equal fragments are one text for each run of regions, and are dealt by anchor.
-3.  Each task sorts the suffixes of its distinct fragments as deep as the window needs,
+    Fragments of an anchor that is in very many different ones are dealt by their single windows.
+3.  Each task sorts the suffixes of the distinct fragments of an anchor as deep as the window needs,
     and takes the transform.  Starting at the empty string, intervals of suffixes are
     extended backwards by one byte, breadth first: the right end of an interval of
     strings of length l+1 that nothing has marked is a common prefix of l bytes, so
     prefixes come by increasing value, and the expansion stops at the window's length.
     Suffixes between two marks then have a whole window in common; the least document of
-    such a class decides.
+    such a class decides.  An anchor with one distinct fragment needs no expansion:
+    the least document of that fragment has all its windows.
 4.  The decisions go back to fragments, regions, their occurrences, and the documents.
 
+Fragments are the same if their bytes are; regions and occurrences are joined by 128-bit hashes.
+
 Defined cases: a null text is empty; texts shorter than the window keep everything;
-rows without doc_id keep everything; rows that repeat a doc_id are one document's.
+rows without doc_id keep everything; rows that repeat a doc_id are one document's, so none of
+them loses what only they share, and each keeps its own place of spans, whatever its text; equal texts of
+different ids go but for the least id; very long texts are cut nowhere; other columns don't get in.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +39,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, documents, in_filter, map_batches
-from .kernels import Words, byte_gram_hashes, fitting, leftmost_minima, slices, word_hashes
-from .substring_levels import id_filter, split_by_filter
+from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, documents, in_filter, map_batches, split_by_filter, with_key
+from .kernels import Slice, byte_gram_hashes, fitting, gathered, leftmost_minima, range_hashes, slices, text_buffers
 
 #: Bytes of an anchor in a window of 50 (in other windows, in proportion): to find regions, and to deal fragments.
-ANCHOR, SHORT_ANCHOR = 36, 16
+ANCHOR, SHORT_ANCHOR = 28, 16
 #: Bytes of fragments whose suffixes are sorted at once.
 CHUNK_BYTES = 64 << 10
+#: Bytes of an anchor's fragments (one for each run of regions) beyond which they are dealt by their windows.
+GROUP_BYTES = 4 << 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -68,27 +76,30 @@ def _anchor_blobs(docs: DataFrame, window: int) -> DataFrame:
 
 def _held_by_leads(part, a: np.ndarray, b: np.ndarray, least: np.ndarray, most: np.ndarray):
     """Hashes of the byte ranges, and for the first of equal ones their bytes with the least and most over all of them; null for others."""
-    c1, c2 = (word_hashes(part, Words(a, b, a[:0]), seed=s) for s in (1, 2))
-    _, once, back = np.unique(c1, return_index=True, return_inverse=True)
-    low, high = np.full(len(once), _NONE), np.full(len(once), np.iinfo(np.int64).min)
+    c1, c2 = (range_hashes(part.data, a, b, seed) for seed in (1, 2))
+    _, back = np.unique(c1, return_inverse=True)
+    n = int(back.max()) + 1 if len(back) else 0
+    low, high, once = np.full(n, _NONE), np.full(n, np.iinfo(np.int64).min), np.zeros(n, np.int64)
     np.minimum.at(low, back, least)
     np.maximum.at(high, back, most)
+    once[back] = np.arange(len(back))
+    if (c2 != c2[once][back]).any():  # different ranges with one hash: each is a lead of its own
+        back = once = np.arange(len(a))
+        low, high = least, most
     lead = np.zeros(len(a), bool)
     lead[once] = True
-    sizes = np.where(lead, b - a, 0)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    raw = part.data[np.arange(bounds[-1]) + np.repeat(a - bounds[:-1], sizes)]
+    raw, bounds = gathered(part.data, a, np.where(lead, b, a))
     held = pa.py_buffer(np.packbits(lead, bitorder="little").tobytes())
     text = pa.Array.from_buffers(pa.binary(), len(a), [held, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
     only = lambda x: pa.array(x, pa.int64(), mask=~lead)
     return pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), only(low[back]), only(high[back]), text, only
 
 
-_REGIONS = "c1 long, c2 long, doc_id long, pos long, least long, most long, bytes binary"
+_REGIONS = "c1 long, c2 long, doc_id long, key long, pos long, least long, most long, bytes binary"
 
 
 def regions(docs: DataFrame, window: int) -> DataFrame:
-    """Every run of successive windows whose anchors may occur twice: its 128-bit hash, document and place.
+    """Every run of successive windows whose anchors may occur twice: its 128-bit hash, document, hash of the document's text, and place.
 
     The first of equal regions in a run of documents also has the bytes, and the
     least and greatest document of that run.
@@ -96,7 +107,7 @@ def regions(docs: DataFrame, window: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(build_filter(_anchor_blobs(docs, window), repeated=True))
 
     def run(batch: pa.RecordBatch):
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, keys = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
         for part in slices(batch.column(1)):
             starts, low, g = _anchors(part, window)
             if not len(starts):
@@ -111,9 +122,9 @@ def regions(docs: DataFrame, window: int) -> DataFrame:
             place = np.searchsorted(part.offsets, a, side="right") - 1
             doc = ids[part.first + place]
             c1, c2, least, most, text, _ = _held_by_leads(part, a, b, doc, doc)
-            yield pa.RecordBatch.from_arrays([c1, c2, pa.array(doc), pa.array(a - part.offsets[place]), least, most, text], names=["c1", "c2", "doc_id", "pos", "least", "most", "bytes"])
+            yield pa.RecordBatch.from_arrays([c1, c2, pa.array(doc), pa.array(keys[part.first + place]), pa.array(a - part.offsets[place]), least, most, text], names=["c1", "c2", "doc_id", "key", "pos", "least", "most", "bytes"])
 
-    return map_batches(documents(docs.where(F.col("doc_id").isNotNull())), run, _REGIONS)
+    return map_batches(with_key(docs.where(F.col("doc_id").isNotNull())), run, _REGIONS)
 
 
 _FRAGMENTS = "r1 long, r2 long, at int, c1 long, c2 long, anchor long, least long, most long, bytes binary"
@@ -219,59 +230,114 @@ _DECISIONS = "c1 long, c2 long, runs array<struct<from:long,to:long,least:long>>
 _RUNS = pa.struct([("from", pa.int64()), ("to", pa.int64()), ("least", pa.int64())])
 
 
-def _decide(rows: list[pa.RecordBatch], window: int) -> pa.RecordBatch | None:
+def _listed(c1: np.ndarray, c2: np.ndarray, of: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """Decisions of the fragments of (increasing) numbers `of`."""
+    some, counts = np.unique(of, return_counts=True)
+    items = pa.StructArray.from_arrays([pa.array(x) for x in runs], fields=list(_RUNS))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), items)
+    return pa.RecordBatch.from_arrays([pa.array(c1[some]), pa.array(c2[some]), lists], names=["c1", "c2", "runs"])
+
+
+def _decide(rows: list[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Decisions of some anchors' fragments, which are here altogether."""
     table = pa.Table.from_batches(rows).combine_chunks()
-    _, once, back = np.unique(table["c1"].to_numpy(), return_index=True, return_inverse=True)
-    least, most = np.full(len(once), _NONE), np.full(len(once), np.iinfo(np.int64).min)
+    texts = table["bytes"].combine_chunks().dictionary_encode()
+    back, n = texts.indices.to_numpy(), len(texts.dictionary)
+    once, least, most = np.zeros(n, np.int64), np.full(n, _NONE), np.full(n, np.iinfo(np.int64).min)
+    once[back] = np.arange(len(back))
     np.minimum.at(least, back, table["least"].to_numpy())
     np.maximum.at(most, back, table["most"].to_numpy())
-    table = table.take(pa.array(once))
-    c1, c2 = (table[k].to_numpy() for k in ("c1", "c2"))
-    text, low = window_classes(table["bytes"].to_pylist(), least, window)
-    if not len(text):
-        return None
+    c1, c2, anchor = (table[k].to_numpy()[once] for k in ("c1", "c2", "anchor"))
+    _, group, sizes = np.unique(anchor, return_inverse=True, return_counts=True)
+    alone = sizes[group] == 1
+    some = np.flatnonzero(alone & (least < most))
+    if len(some):
+        lengths = pc.binary_length(texts.dictionary).to_numpy()[some].astype(np.int64)
+        yield _listed(c1, c2, some, (np.zeros(len(some), np.int64), lengths - window + 1, least[some]))
+    many = np.flatnonzero(~alone)
+    if not len(many):
+        return
+    text, low = window_classes(texts.dictionary.take(pa.array(many)).to_pylist(), least[many], window)
     cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (low[1:] != low[:-1])]))
     start = np.searchsorted(text, text[cut])
     end = np.concatenate([cut[1:], [len(text)]])
-    keep = low[cut] < most[text[cut]]
-    of, a, b, value = text[cut][keep], (cut - start)[keep], (end - start)[keep], low[cut][keep]
-    some, counts = np.unique(of, return_counts=True)
-    runs = pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(value)], fields=list(_RUNS))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), runs)
-    return pa.RecordBatch.from_arrays([pa.array(c1[some]), pa.array(c2[some]), lists], names=["c1", "c2", "runs"])
-
-
-def decisions(found: DataFrame, window: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    of = many[text[cut]]
+    keep = low[cut] < most[of]
+    if keep.any():
+        yield _listed(c1, c2, of[keep], ((cut - start)[keep], (end - start)[keep], low[cut][keep]))
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], key: str, chunk_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows that come sorted by `key`, in chunks that end with the key that goes beyond chunk_bytes."""
+    held, size = [], 0
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        sizes = np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy())
+        at = 0
+        if held and size >= chunk_bytes and batch.num_rows and keys[0] != held[-1].column(key)[-1].as_py():
+            yield held
+            held, size = [], 0
+        while at < batch.num_rows:
+            k = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + max(0, chunk_bytes - size)))
+            end = batch.num_rows if k >= batch.num_rows else int(np.searchsorted(keys, keys[k], side="right"))
+            held.append(batch.slice(at, end - at))
+            size += int(sizes[end - 1] - (sizes[at - 1] if at else 0))
+            at = end
+            if size >= chunk_bytes and at < batch.num_rows:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Per distinct fragment, runs of its windows [from, to) with the least document that has them, where it is smaller than some document of the fragment.
 
     Fragments come here once for each run of regions that has them, so even one that a third of all documents share is few rows.
+    A fragment may have several rows.
     """
-    dealt = found.where("bytes is not null").select("c1", "c2", "anchor", "least", "most", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    leads = found.where("bytes is not null").select("c1", "c2", "anchor", "least", "most", "bytes")
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            anchors = batch.column("anchor").to_numpy()
-            sizes = np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy())
-            at = 0
-            while at < batch.num_rows:
-                # up to the end of the anchor that goes beyond a chunk
-                k = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + max(0, chunk_bytes - size)))
-                end = batch.num_rows if k >= batch.num_rows else int(np.searchsorted(anchors, anchors[k], side="right"))
-                held.append(batch.slice(at, end - at))
-                size += int(sizes[end - 1] - (sizes[at - 1] if at else 0))
-                at = end
-                if size >= chunk_bytes and at < batch.num_rows:
-                    out = _decide(held, window)
-                    held, size = [], 0
-                    if out is not None:
-                        yield out
-        if held:
-            out = _decide(held, window)
-            if out is not None:
-                yield out
-
-    return dealt.mapInArrow(run, _DECISIONS)
+        for held in _chunks(batches, "anchor", chunk_bytes):
+            yield from _decide(held, window)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _DECISIONS)
+
+    hot = scratch.keep(leads.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > group_bytes).select("anchor"))
+    if hot.isEmpty():
+        return dealt(leads)
+
+    def single(batch: pa.RecordBatch) -> pa.RecordBatch:
+        part = Slice(0, batch.num_rows, *text_buffers(batch.column("bytes")))
+        base = part.offsets[0]
+        sizes = np.diff(part.offsets) - window + 1
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        begin = part.offsets[row] + at
+        raw = np.lib.stride_tricks.sliding_window_view(part.data[base : part.offsets[-1]], window)[begin - base]
+        text = pa.FixedSizeBinaryArray.from_buffers(pa.binary(window), len(row), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+        own = batch.select(["c1", "c2", "least", "most"]).take(pa.array(row))
+        return pa.RecordBatch.from_arrays([*own.columns, pa.array(at), text], names=["c1", "c2", "least", "most", "at", "bytes"])
+
+    def run_single(batches):
+        for held in _chunks(batches, "anchor", chunk_bytes):
+            table = pa.Table.from_batches(held).combine_chunks()
+            texts = table["bytes"].combine_chunks().dictionary_encode()
+            back = texts.indices.to_numpy()
+            least = np.full(len(texts.dictionary), _NONE)
+            np.minimum.at(least, back, table["least"].to_numpy())
+            low = window_classes(texts.dictionary.to_pylist(), least, window)[1][back]
+            some = np.flatnonzero(low < table["most"].to_numpy())
+            if len(some):
+                c1, c2, at = (table[k].to_numpy() for k in ("c1", "c2", "at"))
+                yield _listed(c1, c2, some, (at[some], at[some] + 1, low[some]))
+
+    cold = leads.join(hot, "anchor", "left_anti").select(leads.columns)
+    windows = map_batches(leads.join(hot, "anchor", "left_semi").select("c1", "c2", "least", "most", "bytes"), single, "c1 long, c2 long, least long, most long, at long, bytes binary")
+    windows = windows.withColumn("anchor", F.xxhash64("bytes")).repartition("anchor").sortWithinPartitions("anchor")
+    return dealt(cold).unionByName(windows.mapInArrow(run_single, _DECISIONS))
 
 
 def _joined_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -289,12 +355,12 @@ def _joined_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def removed_spans(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """Written table: doc_id, spans (start, end in bytes; they may overlap)."""
+    """Written table: doc_id, key (the hash of a row's text), spans (start, end in bytes; they may overlap)."""
     places = scratch.keep(regions(docs, window))
     texts = scratch.keep(places.where("bytes is not null").groupBy("c1", "c2").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("bytes").alias("bytes")))
     found = scratch.keep(fragments(texts, window))
     scratch.drop(texts)
-    decided = scratch.keep(decisions(found, window))
+    decided = scratch.keep(decisions(found, window, scratch))
     moved = F.transform("runs", lambda r: F.struct((F.col("at") + r["from"]).alias("from"), (F.col("at") + r["to"]).alias("to"), r["least"].alias("least")))
     back = found.select("r1", "r2", "at", "c1", "c2").join(decided, ["c1", "c2"]).select("r1", "r2", moved.alias("runs"))
     back = scratch.keep(back)
@@ -302,9 +368,9 @@ def removed_spans(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     whole = back.groupBy("r1", "r2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     judged = scratch.keep(map_batches(whole, _joined_runs, _DECISIONS))
     scratch.drop(back)
-    hit = places.select("c1", "c2", "doc_id", "pos").join(judged, ["c1", "c2"])
+    hit = places.select("c1", "c2", "doc_id", "key", "pos").join(judged, ["c1", "c2"])
     spans = F.transform(F.filter("runs", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct((F.col("pos") + r["from"]).alias("a"), (F.col("pos") + r["to"] - 1 + window).alias("b")))
-    out = scratch.keep(hit.select("doc_id", spans.alias("s")).where(F.size("s") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans")))
+    out = scratch.keep(hit.select("doc_id", "key", spans.alias("s")).where(F.size("s") > 0).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("s")).alias("spans")))
     scratch.drop(places, judged)
     return out
 
@@ -343,7 +409,7 @@ def deduplicate(docs: DataFrame, window: int = 50, digest: bool = False) -> Data
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes left, or with digest their SHA-256 in hex)."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     removed = removed_spans(docs, window, scratch)
-    some, others = split_by_filter(docs, id_filter(removed))
-    joined = some.join(removed, "doc_id", "left").select("doc_id", "text", "spans")
+    some, others = split_by_filter(with_key(docs), removed)
+    joined = some.join(removed, ["doc_id", "key"], "left").select("doc_id", "text", "spans")
     schema = SCHEMA.format("string" if digest else "binary")
-    return map_batches(joined, lambda b: _kept(b, digest), schema).unionByName(map_batches(others, lambda b: _kept(b, digest), schema))
+    return map_batches(joined, lambda b: _kept(b, digest), schema).unionByName(map_batches(others.select("doc_id", "text"), lambda b: _kept(b, digest), schema))

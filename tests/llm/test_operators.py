@@ -78,7 +78,7 @@ def test_filter_never_forgets(spark):
     buckets = bucket_count(spark)
     df = spark.createDataFrame([(b, h) for b, h in hash_blobs([np.concatenate([x, x[:1000]])], buckets)], "bucket int, hashes binary")
     f = build_filter(df, repeated=True, bits=20)
-    assert in_filter(f, x[:1000], 20).all() and in_filter(f, x[1000:], 20).mean() < 0.05
+    assert in_filter(f, x[:1000]).all() and in_filter(f, x[1000:]).mean() < 0.05
 
 
 # --- 1
