@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeprobe.llm import jaccard_join, language_id, packing, positional_index, secret_scan, substring_levels
-from lakeprobe.llm.common import Scratch
+from lakeprobe.llm import jaccard_join, language_id, packing, positional_index, secret_scan
+from lakeprobe.llm.common import Scratch, without
 from lakeprobe.llm.queries import read, tokenizer_path
 
 
@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of linked ones stays."""
     found = jaccard_join.components(docs)
-    return substring_levels.without_ids(docs, found.where("component_id < doc_id").select("doc_id"))
+    return without(docs, found.where("component_id < doc_id").select("doc_id"), "doc_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
