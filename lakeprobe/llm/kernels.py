@@ -51,7 +51,7 @@ def _pair(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
     return mix(out)
 
 
-def _loads(data: np.ndarray) -> np.ndarray:
+def loads(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as one number, zeros after the end."""
     return np.ndarray((len(data) + 1,), np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
@@ -148,8 +148,8 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     """64-bit hash of each range of bytes: its blocks of eight bytes, each mixed with a key of its place, added up and mixed with the length."""
     start, factor, summand = _keys(seed)
     lengths = ends - starts
-    loads = _loads(data)
-    sums = mix((loads[starts] & _MASKS[np.minimum(lengths, 8)]) ^ start)
+    eight = loads(data)
+    sums = mix((eight[starts] & _MASKS[np.minimum(lengths, 8)]) ^ start)
     long = np.flatnonzero(lengths > 8)
     if len(long):
         counts = (lengths[long] - 1) >> 3
@@ -158,7 +158,7 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
         k = np.arange(len(row)) - np.repeat(first, counts) + 1
         at = starts[row] + 8 * k
         key = mix(start + k.astype(np.uint64) * _STEP)
-        sums[long] += np.add.reduceat(mix((loads[at] & _MASKS[np.minimum(ends[row] - at, 8)]) ^ key), first)
+        sums[long] += np.add.reduceat(mix((eight[at] & _MASKS[np.minimum(ends[row] - at, 8)]) ^ key), first)
     return mix(sums * factor + lengths.astype(np.uint64) * _STEP + summand)
 
 
@@ -169,9 +169,8 @@ def word_hashes(part: Slice, w: Words, fold: bool = False, seed: int = 1) -> np.
     return range_hashes(LOWER[part.data] if fold else part.data, w.starts, w.ends, seed)
 
 
-def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, there: np.ndarray, lengths: np.ndarray) -> bool:
-    """Whether each range of `a` from `at` holds the bytes of the one of `b` from `there`."""
-    x, y = _loads(a), _loads(b)
+def same_bytes(x: np.ndarray, at: np.ndarray, y: np.ndarray, there: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether each range of one text from `at` holds the bytes of the one of another from `there`; x and y are their loads()."""
     mask = _MASKS[np.minimum(lengths, 8)]
     if ((x[at] & mask) != (y[there] & mask)).any():
         return False
@@ -185,6 +184,14 @@ def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, there: np.ndarray,
     return bool(((x[at[row] + step] & mask) == (y[there[row] + step] & mask)).all())
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order; by sorting, which is faster here than numpy's table of hashes."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the ranges one after the other, and where each begins (one more than ranges)."""
     lengths = ends - starts
@@ -201,7 +208,8 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     lead = np.zeros(int(codes.max()) + 1 if len(codes) else 0, np.int64)
     lead[codes] = np.arange(len(codes))
     own = lead[codes]
-    if ((ends - starts) == (ends - starts)[own]).all() and same_bytes(data, starts, data, starts[own], ends - starts):
+    eight = loads(data)
+    if ((ends - starts) == (ends - starts)[own]).all() and same_bytes(eight, starts, eight, starts[own], ends - starts):
         return codes, lead
     raw, bounds = gathered(data, starts, ends)
     codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode().indices.to_numpy()
@@ -212,7 +220,7 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
 
 def first_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Up to eight first bytes of each range as one number, mixed with its length."""
-    return (_loads(data)[starts] & _MASKS[np.minimum(ends - starts, 8)]) ^ ((ends - starts).astype(np.uint64) << np.uint64(40))
+    return (loads(data)[starts] & _MASKS[np.minimum(ends - starts, 8)]) ^ ((ends - starts).astype(np.uint64) << np.uint64(40))
 
 
 def _doubled(h: np.ndarray, width: int, size: int, seed: int) -> np.ndarray:
@@ -230,11 +238,11 @@ def byte_gram_hashes(data: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     start = _keys(seed)[0]
-    loads, width = _loads(data), min(size, 8)
+    eight, width = loads(data), min(size, 8)
     out = np.empty(n, np.uint64)
     for a in range(0, n, BLOCK):
         b = min(n, a + BLOCK)
-        base = mix((loads[a : b + size - width] & _MASKS[width]) ^ start)
+        base = mix((eight[a : b + size - width] & _MASKS[width]) ^ start)
         out[a:b] = _doubled(base, width, size, seed)
     return out
 
