@@ -9,9 +9,11 @@ windows whose lengths are the powers of two of their number, so none is padded.
 
 Tokens of a text are those of its words between ASCII blanks, one after the other: the
 vocabulary's normalizer and splitter never look across a blank.  Each distinct word
-is so encoded once a worker.
+is so encoded once a worker; remembered words are compared byte by byte.
 
-Defined cases: a null or empty text has its end id alone; repeated rows are packed as often as they occur.
+Defined cases: a null or empty text has its end id alone; a null doc_id is packed like others; repeated rows
+are packed as often as they occur; very long texts are cut like others; other columns don't get in;
+an empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
-from .kernels import Slice, first_bytes, slices, word_hashes, words
+from .kernels import Slice, gathered, loads, same_bytes, slices, word_hashes, words
 
-#: Words a worker remembers; beyond that it starts anew.
-MEMO_WORDS = 1_000_000
+#: Words, and bytes of them, that a worker remembers; beyond that it starts anew.
+MEMO_WORDS, MEMO_BYTES = 1_000_000, 32 << 20
 
 
 class Encoder:
@@ -44,31 +46,36 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.checks, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        """Known words: their hashes in order and places; by place their bytes in `raw` and their ids."""
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, self.dtype)
+        self.loads = loads(self.raw)
 
-    def _learn(self, part: Slice, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+    def _learn(self, part: Slice, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
         """keys: sorted, none of them known."""
-        lengths = ends - starts
-        bounds = np.concatenate([[0], np.cumsum(lengths)])
-        raw = part.data[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], lengths)]
+        raw, bounds = gathered(part.data, starts, ends)
         texts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)).to_pylist()
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         place = np.arange(len(found)) + len(self.first) - 1
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.dtype, int(counts.sum()))])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+        self.at = np.concatenate([self.at, self.at[-1] + bounds[1:]])
+        self.raw = np.concatenate([self.raw, raw])
+        self.loads = loads(self.raw)
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.checks, self.place = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks), np.insert(self.place, at, place)
+        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, place)
 
     def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a slice and each document's first (one more than documents)."""
         w = words(part)
-        key, check = word_hashes(part, w), first_bytes(part.data, w.starts, w.ends)
-        once, index, back = np.unique(key, return_index=True, return_inverse=True)
-        if not len(once):
+        if not len(w.starts):
             return np.zeros(0, self.dtype), np.zeros(len(w.bounds), np.int64)
-        if len(self.keys) > MEMO_WORDS:
+        once, back = np.unique(word_hashes(part, w), return_inverse=True)
+        index = np.zeros(len(once), np.int64)
+        index[back] = np.arange(len(back))
+        if len(self.keys) > MEMO_WORDS or len(self.raw) > MEMO_BYTES:
             self._clear()
         at = np.searchsorted(self.keys, once)
         new = np.ones(len(once), bool)
@@ -76,12 +83,13 @@ class Encoder:
         new[inside] = self.keys[at[inside]] != once[inside]
         if new.any():
             k = index[new]
-            self._learn(part, w.starts[k], w.ends[k], once[new], check[k])
+            self._learn(part, w.starts[k], w.ends[k], once[new])
             at = np.searchsorted(self.keys, once)
-        if (self.checks[at][back] != check).any():  # two words with one hash: encode the texts as they are
+        place = self.place[at][back]
+        lengths = w.ends - w.starts
+        if (self.at[place + 1] - self.at[place] != lengths).any() or not same_bytes(loads(part.data), w.starts, self.loads, self.at[place], lengths):  # two words with one hash: encode the texts as they are
             found = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast([part.bytes_of(d).decode() for d in range(part.last - part.first)], add_special_tokens=False)]
             return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        place = self.place[at][back]
         counts = self.first[place + 1] - self.first[place]
         total = np.concatenate([[0], np.cumsum(counts)])
         flat = np.arange(total[-1]) + np.repeat(self.first[place] - total[:-1], counts)
@@ -96,10 +104,12 @@ def _encoder(path: str) -> Encoder:
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """Written table: doc_id, part, before (ids before it in its part), n_ids, ids (little-endian, of 2 bytes or 4), wide."""
     scratch = scratch or Scratch(docs.sparkSession, "packing")
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def run(batches):
         part_id, before = TaskContext.get().partitionId(), 0
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(SparkFiles.get(name))
         for batch in batches:
             for part in slices(batch.column(1)):
                 ids, bounds = encoder.encode(part)
