@@ -6,8 +6,8 @@ text.  Phrases times log2 of that text's length, over the document's length, est
 the cross entropy in bits a byte; the language with the least wins.
 
 Texts are compared as lower-cased UTF-8 bytes in which ASCII blanks, digits and
-punctuation marks are one symbol each.  A long text is parsed in blocks of
-BLOCK bytes, all of them; a phrase ends at a block's end, in every language.
+punctuation marks are one symbol each.  Phrases are longest matches over the whole text; that long
+texts are parsed in blocks of BLOCK bytes side by side changes no phrase.
 
 The training text is a bounded sample: at most `documents_per_language` documents
 of every language, the first of each bucket of a hash, and `bytes_each` bytes of each.
@@ -17,7 +17,8 @@ The bytes of a longer text are PIECES pieces from hashed places, one in each equ
 so an opening that many texts share is not all that is learned.  Predictions read whole texts.
 
 Defined cases: `und` with score 0 for a null text, one without a letter, or when
-there is no training text; equal languages go to the first by name.
+there is no training text; equal languages go to the first by name; a byte that a language's text
+lacks is a phrase alone; repeated rows come back as often; columns of other names don't get in.
 """
 
 from __future__ import annotations
@@ -83,9 +84,9 @@ def suffix_automaton(text: bytes) -> tuple[list[dict[int, int]], list[int]]:
 class CrossParser:
     """Counts the phrases of many texts in several languages at once.
 
-    One table holds all automata.  An entry is the next state's row; where the
-    automaton has no move it is the bitwise complement of the root's move, so a
-    negative entry says that a phrase ended before this byte.
+    One table holds all automata.  An entry is the next state's row, or its bitwise complement where a
+    new phrase begins with this byte.  Row 0 of an automaton stands for "no phrase is open": every move from
+    it begins one.  It comes before the first byte and after a byte that the language's text lacks, which is a phrase alone.
     """
 
     def __init__(self, texts: dict[str, bytes]):
@@ -99,12 +100,10 @@ class CrossParser:
         tables, roots, base = [], [], 0
         for name in self.languages:
             moves, _ = suffix_automaton(texts[name])
-            table = np.full((len(moves), width), base * width, np.int64)
+            table = np.full((len(moves), width), ~(base * width), np.int64)
             for c, to in moves[0].items():
-                table[:, number[c]] = (base + to) * width
-            table[1:] = ~table[1:]
-            table[0] = ~table[0]
-            for state, out in enumerate(moves):
+                table[:, number[c]] = ~((base + to) * width)
+            for state, out in enumerate(moves[1:], 1):
                 for c, to in out.items():
                     table[state, number[c]] = (base + to) * width
             tables.append(table.ravel())
@@ -116,8 +115,19 @@ class CrossParser:
         self.roots = np.array(roots, self.table.dtype)
         self.weights = np.array([np.log2(max(2, len(texts[x]))) for x in self.languages])
 
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and -1 where a phrase has begun."""
+        now = np.take(self.table, state + symbol)
+        begun = now >> self.shift
+        return now ^ begun, begun
+
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Phrases of each text (rows) in each language (columns)."""
+        """Phrases of each text (rows) in each language (columns): longest matches one after the other over the whole text.
+
+        Blocks of all texts are parsed side by side as if a phrase began with each.  Then the parse that comes in from the block
+        before is followed beside the block's own until both are in one state, from where on they are the same;
+        what they differ in until then is made good.  Where they don't meet, the block's end changes and the next block follows.
+        """
         classes = self.classes[data].astype(self.table.dtype)
         lengths = np.diff(offsets)
         blocks = -(-lengths // BLOCK)
@@ -125,25 +135,57 @@ class CrossParser:
         inside = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = offsets[doc] + inside * BLOCK
         size = np.minimum(lengths[doc] - inside * BLOCK, BLOCK)
-        order = np.argsort(-size, kind="stable")
-        start, size, doc = start[order], size[order], doc[order]
         out = np.zeros((len(lengths), len(self.languages)), np.int64)
         if not len(start):
             return out
-        state = np.repeat(self.roots[:, None], len(start), 1)
-        count = np.zeros((len(self.languages), len(start)), self.table.dtype)
+        order = np.argsort(-size, kind="stable")
+        begin, sizes = start[order], size[order]
+        state = np.repeat(self.roots[:, None], len(begin), 1)
+        count = np.zeros((len(self.languages), len(begin)), np.int64)
         # so many blocks still run at each step
-        active = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
-        for t in range(int(size[0])):
+        active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
+        for t in range(int(sizes[0])):
             n = int(active[t])
-            now = np.take(self.table, state[:, :n] + classes[start[:n] + t])
-            ended = now >> self.shift
-            count[:, :n] -= ended
-            state[:, :n] = now ^ ended
+            state[:, :n], begun = self._step(state[:, :n], classes[begin[:n] + t])
+            count[:, :n] -= begun
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        count, ends = count[:, back], state[:, back]
+        self._mend(classes, start, size, inside, count, ends)
         for k in range(len(self.languages)):
-            out[:, k] = np.bincount(doc, weights=count[k] + 1, minlength=len(lengths))
+            out[:, k] = np.bincount(doc, weights=count[k], minlength=len(lengths))
         return out
 
+    def _mend(self, classes: np.ndarray, start: np.ndarray, size: np.ndarray, inside: np.ndarray, count: np.ndarray, ends: np.ndarray) -> None:
+        """Corrects the counts and end states of blocks whose text goes on from the block before."""
+        own, more = ends.copy(), np.zeros_like(count)
+        lang, block = (x.ravel() for x in np.broadcast_arrays(np.arange(len(ends))[:, None], np.flatnonzero(inside > 0)[None, :]))
+        while len(block):
+            more[lang, block], last = self._entered(classes, start[block], size[block], ends[lang, block - 1], self.roots[lang], own[lang, block])
+            changed = last != ends[lang, block]
+            ends[lang, block] = last
+            lang, block = lang[changed], block[changed] + 1
+            on = np.append(inside, 0)[block] > 0
+            lang, block = lang[on], block[on]
+        count += more
+
+    def _entered(self, classes: np.ndarray, start: np.ndarray, size: np.ndarray, true: np.ndarray, alone: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that blocks entered in the states `true` have more than they have alone, and their end states (`own`: alone)."""
+        more, last = np.zeros(len(start), np.int64), own.copy()
+        at, t = np.flatnonzero(true != alone), 0
+        true, alone, start, size = true[at], alone[at], start[at], size[at]
+        while len(at):
+            symbol = classes[start + t]
+            (true, a), (alone, b) = self._step(true, symbol), self._step(alone, symbol)
+            more[at] += b - a
+            t += 1
+            differ, over = true != alone, size <= t
+            last[at[differ & over]] = true[differ & over]
+            on = differ & ~over
+            if not on.all():
+                at, true, alone, start, size = at[on], true[on], alone[on], start[on], size[on]
+        return more, last
+
 
 @lru_cache(maxsize=2)
 def _parser(texts: tuple[tuple[str, bytes], ...]) -> CrossParser:
@@ -217,13 +259,23 @@ def identify(docs: DataFrame, texts: tuple[tuple[str, bytes], ...]) -> DataFrame
     return map_batches(documents(docs), run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, texts: tuple[tuple[str, bytes], ...]) -> DataFrame:
-    """The rows whose text identify() gives a language, or with a letter where there is no training text.  Columns stay as they are."""
+def keep_identified(docs: DataFrame, texts: tuple[tuple[str, bytes], ...], languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows whose text identify() gives a language (one of `languages`, if named), with that in the column lang, if there is one.
+
+    Where there is no training text, rows whose text has a letter stay as they are.  Other columns stay as they are.
+    """
     schema = docs.schema
     at = schema.names.index("text")
+    to = schema.names.index("lang") if "lang" in schema.names and schema["lang"].dataType.simpleString() == "string" else None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, _, _, letters = _languages(batch.column(at), texts)
-        return batch.filter(pa.array((names != "und") | letters))
+        if not texts:
+            return batch.filter(pa.array(letters))
+        if to is not None:
+            columns = list(batch.columns)
+            columns[to] = pa.array(names.tolist(), columns[to].type)
+            batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        return batch.filter(pa.array(np.isin(names, languages) if languages is not None else names != "und"))
 
     return map_batches(docs, run, schema)

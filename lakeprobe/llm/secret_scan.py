@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents, map_batches
-from .kernels import LOWER, Slice, slices
+from .kernels import LOWER, Slice, distinct, slices
 
 try:
     from re import _constants as sre
@@ -169,7 +169,7 @@ class ShardIndex:
         at = np.flatnonzero(wanted[codes]) if wanted is not None else np.arange(len(codes))
         doc = np.searchsorted(part.offsets, at, side="right") - 1
         fits = at + 3 <= part.offsets[doc + 1] if len(at) else np.zeros(0, bool)
-        pairs = np.unique(codes[at[fits]].astype(np.int64) << 32 | doc[fits])
+        pairs = distinct(codes[at[fits]].astype(np.int64) << 32 | doc[fits])
         self.documents = part.last - part.first
         self._codes, self._docs = pairs >> 32, pairs & 0xFFFFFFFF
 

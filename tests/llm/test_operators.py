@@ -184,25 +184,41 @@ def test_empty_tables(empty):
 # --- 3
 
 
-def test_automaton_and_phrases_equal_greedy_search():
+def greedy_phrases(d: bytes, t: bytes) -> int:
+    n, total = 0, 0
+    while n < len(d):
+        k = 1
+        while n + k < len(d) and d[n : n + k + 1] in t:
+            k += 1
+        n, total = n + k, total + 1
+    return total
+
+
+@pytest.mark.parametrize("block", [1024, 7, 1])
+def test_automaton_and_phrases_equal_greedy_search(monkeypatch, block):
+    """Texts over several blocks, with runs of one letter and letters that no language has."""
+    monkeypatch.setattr(language_id, "BLOCK", block)
     rng = random.Random(5)
-    texts = {name: bytes(rng.choice(b"abcd") for _ in range(300)) for name in ("x", "y")}
+    texts = {"x": bytes(rng.choice(b"abcd") for _ in range(300)) + b"aaaaa", "y": bytes(rng.choice(b"abce") for _ in range(300))}
     parser = language_id.CrossParser(texts)
-    docs = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (0, 1, 5, 200, 1024, 1500)]
+    docs = [bytes(rng.choice(b"abcd" if n % 2 else b"abcdez") for _ in range(n)) for n in (0, 1, 5, 200, 1024, 1500, 3001)] + [b"a" * 2100, b"z" * 30, texts["x"] * 7]
     got = parser.phrases(np.frombuffer(b"".join(docs), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+    assert got.tolist() == [[greedy_phrases(d, texts["x"]), greedy_phrases(d, texts["y"])] for d in docs]
 
-    def greedy(d: bytes, t: bytes) -> int:
-        n, total = 0, 0
-        for block in (d[k : k + language_id.BLOCK] for k in range(0, len(d), language_id.BLOCK)):
-            n = 0
-            while n < len(block):
-                k = 1
-                while n + k < len(block) and block[n : n + k + 1] in t:
-                    k += 1
-                n, total = n + k, total + 1
-        return total
 
-    assert got.tolist() == [[greedy(d, texts["x"]), greedy(d, texts["y"])] for d in docs]
+def test_the_language_with_the_fewest_normalised_phrases_wins(spark, docs, rows):
+    """The choice, its bits and its score, from phrases counted by search in the training text."""
+    texts = language_id.sample_texts(docs)
+    got = {r["doc_id"]: r for r in language_id.identify(docs, texts).collect()}
+    for i, t in rows.items():
+        raw = language_id.SYMBOLS[np.frombuffer((t or "").lower().encode(), np.uint8)].tobytes()
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cost = {k: greedy_phrases(raw, v) * np.log2(len(v)) / len(raw) for k, v in texts}
+        best, second = sorted(cost.values())[:2]
+        assert cost[got[i]["lang_pred"]] == pytest.approx(best) and got[i]["bits_per_byte"] == pytest.approx(best)
+        assert got[i]["score"] == pytest.approx(second / (best + second))
 
 
 def test_language_of_held_out_documents(spark):
@@ -244,6 +260,11 @@ def test_only_texts_without_a_letter_are_rejected(spark):
     d = spark.createDataFrame([(1, None), (2, "12 !"), (3, "qz"), (4, "\u6f22\u5b57"), (5, "the and of")], "doc_id long, text string")
     for texts in ((("en", b"the and of"),), ()):
         assert sorted(r["doc_id"] for r in language_id.keep_identified(d, texts).collect()) == [3, 4, 5]
+    named = d.selectExpr("doc_id", "text", "'?' as lang", "'x' as source")
+    texts = (("en", b"the and of"), ("qq", b"qzqzqqz"))
+    got = [tuple(r) for r in language_id.keep_identified(named, texts).orderBy("doc_id").collect()]
+    assert [(r[0], r[2], r[3]) for r in got if r[0] != 4] == [(3, "qq", "x"), (5, "en", "x")]
+    assert [r["doc_id"] for r in language_id.keep_identified(named, texts, ("en",)).where("doc_id <> 4").collect()] == [5]
 
 
 # --- 4
