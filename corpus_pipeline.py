@@ -10,7 +10,7 @@ from lakeprobe.llm.queries import read, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language stay."""
+    """Documents whose text has a language stay; lang becomes the one that was identified."""
     return language_id.keep_identified(docs, language_id.sample_texts(docs))
 
 
