@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeprobe.llm import fixity, jaccard_join, language_id, packing, positional_index, quality_rules, secret_scan, site_classifier, substring_levels, suffix_dedup
-from lakeprobe.llm.common import bucket_count, build_filter, hash_blobs, in_filter
+from lakeprobe.llm.common import Scratch, bucket_count, build_filter, hash_blobs, in_filter
 from lakeprobe.llm.kernels import fitting, gram_hashes, leftmost_minima, slices, word_hashes, words
 from lakeprobe.llm.queries import queries, tokenizer_path
 
@@ -440,9 +440,20 @@ def test_matches_equal_brute_force(spark, docs, rows, block):
 
 
 def test_near_matches(spark):
-    d = spark.createDataFrame([(1, "the big red old fox runs"), (2, "big fox"), (3, "fox big")], "doc_id long, text string")
-    got = sorted((r["doc_id"], r["start"], r["end"]) for r in positional_index.near_matches(d, ["Big fox"], gap=2).collect())
-    assert got == [(1, 1, 5), (2, 0, 2)] and positional_index.postings(d).count() == 10
+    d = spark.createDataFrame([(1, "the big red old fox runs"), (2, "big fox"), (3, "fox big"), (4, "the big"), (5, "fox"), (6, None)], "doc_id long, text string")
+    index = positional_index.build_index(d, Scratch(spark, "index"))
+    got = sorted((r["doc_id"], r["start"], r["end"]) for r in positional_index.near_matches(index, ["Big fox", "not there"], gap=2).collect())
+    assert got == [(1, 1, 5), (2, 0, 2)] and index.selectExpr("sum(size(ids))").first()[0] == 6
+
+
+def test_only_rows_with_a_window_go(spark):
+    """Rows that share an id, rows without one, and a column with a name that the operator uses."""
+    words_ = [f"w{k}" for k in range(30)]
+    rows = [(1, " ".join(words_), "a"), (1, "clean text", "b"), (None, "x " + " ".join(words_[5:15]), "c"), (None, "clean", "d"), (3, None, "e"), (4, " ".join(words_[5:14]), "f")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    bench = spark.createDataFrame([(7, " ".join(words_).upper())], "item_id long, text string")
+    assert sorted(r["shard"] for r in positional_index.keep_clean(d, bench).collect()) == ["b", "d", "e", "f"]
+    assert positional_index.keep_clean(d, bench.limit(0)).count() == 6 and positional_index.matches(d, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
 # --- 10
