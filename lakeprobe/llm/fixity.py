@@ -10,11 +10,13 @@ With `placement`, a leaf also has a digest of its records' archives, offsets and
 hash both, so a record that lies elsewhere is found too.  Without it, replicas may be packed
 differently: a record that is missing moves all those after it in its archive.
 
-All of it is DataFrame functions.  A node has at most FAN children, so no group is
-unbounded, and the trees are written tables that several audits can use.
+All of it is DataFrame functions.  A node has at most FAN children.  A leaf's digests are sums over its records, so
+a key that very many records share is added up before it is shuffled, and offsets inside such a key are sums over
+parts of it by digest.  The trees are written tables that several audits can use.
 
-Defined cases: rows without a key are left out; a key that repeats is one leaf with the
-hashes of its records in order; empty replicas have no root, and against one every record is missing.
+Defined cases: rows without a key are left out; a null url or html is empty; rows that repeat a key and its content are one
+record with a number of copies; a key with several contents is one leaf; very long pages are hashed whole; other columns
+don't get in; empty replicas have no root, and against one every record is missing.
 """
 
 from __future__ import annotations
@@ -31,19 +33,36 @@ FAN = 16
 ARCHIVE_KEYS = 4096
 
 
-def record_bytes(url, html):
-    """A record as the archive holds it."""
+def record_bytes(key, url, html, date: str):
+    """A record as the archive holds it; its id is made from key and address."""
     body = F.encode(F.coalesce(html, F.lit("")), "utf-8")
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    address = F.coalesce(url, F.lit(""))
+    name = F.md5(F.concat(key.cast("string"), F.lit(" "), address).cast("binary"))
+    uuid = F.concat_ws("-", *(F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), address, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     return F.concat(F.encode(head, "utf-8"), body, F.lit(b"\r\n\r\n"))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """key, archive, offset, length and digest of every page's record."""
-    data = record_bytes(F.col("url").cast("string"), F.col("html").cast("string"))
-    one = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("key"), F.octet_length(data).cast("long").alias("length"), F.sha2(data, 256).alias("digest")).withColumn("archive", F.floor(F.col("key") / ARCHIVE_KEYS).cast("long"))
-    before = Window.partitionBy("archive").orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return one.select("key", "archive", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "digest")
+def records(pages: DataFrame, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
+    """key, archive, offset, length, digest and copies of every page's record; `date` (20 characters) is that of the capture.
+
+    An archive has the records of ARCHIVE_KEYS keys in order of key and digest, copies once.
+    """
+    data = record_bytes(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), date)
+    one = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("key"), F.octet_length(data).cast("long").alias("length"), F.sha2(data, 256).alias("digest"))
+    one = Scratch(pages.sparkSession, "records").keep(one.groupBy("key", "digest").agg(F.min("length").alias("length"), F.count("*").alias("copies")))
+    one = one.withColumns({"archive": F.floor(F.col("key") / ARCHIVE_KEYS).cast("long"), "part": F.substring("digest", 1, 3)})
+    # sums over keys of an archive, over a key's 4096 parts, and over the records of a part: none of these groups grows with a key's records but by its share
+    parts = one.groupBy("archive", "key", "part").agg(F.sum("length").alias("n"))
+    keys = parts.groupBy("archive", "key").agg(F.sum("n").alias("n"))
+
+    def before(n: str, order: str, *within: str):
+        return F.coalesce(F.sum(n).over(Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    keys = keys.select("key", before("n", "key", "archive").alias("base"))
+    parts = parts.join(keys, "key").select("key", "part", (F.col("base") + before("n", "part", "key")).alias("base"))
+    placed = one.join(parts, ["key", "part"])
+    return placed.select("key", "archive", (F.col("base") + before("length", "digest", "key", "part")).cast("long").alias("offset"), "length", "digest", "copies")
 
 
 @dataclass
@@ -76,9 +95,17 @@ def _height(*tables: DataFrame) -> int:
 
 def tree(found: DataFrame, height: int, scratch: Scratch, placement: bool = False) -> Tree:
     """Written Merkle tree over the keys of records(); with `placement`, a leaf's digest is two, of what its records hold and of where each lies."""
-    digest = F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("digest"))), 256)
+    copies = F.col("copies") if "copies" in found.columns else F.lit(1)
+
+    def of_all(digest):
+        """A digest of a leaf's records' digests, in whatever order they come."""
+        sums = (F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)") * copies).cast("string") for k in range(4))
+        return F.sha2(F.concat_ws(":", F.sum(copies).cast("string"), *sums), 256)
+
+    digest = of_all(F.sha2(F.col("digest"), 256))
     if placement:
-        digest = F.concat_ws(":", digest, F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", "digest", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("archive", "offset", "length")))))), 256))
+        where = F.concat_ws(":", "digest", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("archive", "offset", "length")))
+        digest = F.concat_ws(":", digest, of_all(F.sha2(where, 256)))
     level = scratch.keep(
         found.groupBy(F.col("key").alias("node")).agg(digest.alias("digest"), F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("archive").alias("archive"))
     )
@@ -128,7 +155,9 @@ def audit(left: DataFrame, right: DataFrame, placement: bool = False) -> DataFra
     return found.join(place.select("node", "own", "archive", "start", "end"), ["node", "own"]).select(F.col("node").alias("page_id"), "status", "archive", F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"))
 
 
-def planted_faults(pages: DataFrame) -> DataFrame:
-    """A second replica with known faults, by page_id: every 97th (rest 13) has its text altered, every 101st (rest 17) is gone."""
-    html = F.when(F.pmod("page_id", F.lit(97)) == 13, F.concat(F.col("html"), F.lit("~"))).otherwise(F.col("html"))
-    return pages.where(F.pmod("page_id", F.lit(101)) != 17).select("page_id", "url", html.alias("html"))
+def damaged(found: DataFrame) -> DataFrame:
+    """Records of a second replica with known faults, by key: every 97th (rest 13) has another digest, every 101st (rest 17) is gone, every 89th (rest 5) lies 64 bytes on."""
+    key = F.col("key")
+    altered = F.when(F.pmod(key, F.lit(97)) == 13, F.sha2(F.concat("digest", F.lit("~")), 256)).otherwise(F.col("digest"))
+    moved = F.col("offset") + F.when(F.pmod(key, F.lit(89)) == 5, F.lit(64)).otherwise(F.lit(0))
+    return found.where(F.pmod(key, F.lit(101)) != 17).withColumns({"digest": altered, "offset": moved})

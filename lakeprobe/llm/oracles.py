@@ -43,8 +43,9 @@ both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b
 link AS MATERIALIZED (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 edge AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, coalesce(l, 0)::BIGINT AS n_links
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS l FROM edge GROUP BY a) USING (doc_id)
 """
 
 ORACLES["op2_suffix_dedup"] = """
@@ -62,9 +63,11 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 ORACLES["op6_fixity_audit"] = r"""
-WITH p AS (SELECT page_id, url, html, page_id // 4096 AS archive,
-  strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)) + strlen(html) + 4 AS length FROM pages),
+WITH p AS (SELECT page_id, page_id // 4096 AS archive,
+  strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:' || repeat('0', 36) || '>' || chr(13) || chr(10) || 'WARC-Date: ' || repeat('0', 20) || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)) + strlen(html) + 4 AS length FROM pages),
 r AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM p)
-SELECT page_id, CASE WHEN page_id % 101 = 17 THEN 'missing' ELSE 'changed' END AS status, archive::BIGINT AS archive, o::BIGINT AS "offset", length::BIGINT AS length
-FROM r WHERE page_id % 101 = 17 OR page_id % 97 = 13
+SELECT page_id, CASE WHEN page_id % 101 = 17 THEN 'missing' WHEN page_id % 97 = 13 THEN 'changed' ELSE 'moved' END AS status, archive::BIGINT AS archive, o::BIGINT AS "offset", length::BIGINT AS length
+FROM r WHERE page_id % 101 = 17 OR page_id % 97 = 13 OR page_id % 89 = 5
 """
+
