@@ -12,7 +12,9 @@ The models are fitted on at most `sample_rows` labelled documents, those with th
 least hashes of their ids; site evidence covers every document, by grouped sums.
 
 Defined cases: a null text has no words; a null host or path is a site of its own; with
-labels of one class only, the model gives that class's share; without labels, one half.
+labels of one class only, the model gives that class's share; without labels, one half; of rows that repeat a labelled
+doc_id one stands for it in fitting; repeated rows come back as often; very long texts are read whole; columns
+named host, path, q or t in the input don't get in.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .quality_rules import COUNTS, FEATURES, count_slice
 
 #: Word beginnings of so many bytes are features beside whole words.
 PREFIXES = (5, 7)
+#: Sites that are sent to all executors, and numbers by which documents of one site are dealt where there are more.
+MOST_SENT, SALTS = 100_000, 32
 _SHAPE = np.uint64(0x5348415045000000)
 
 
@@ -124,8 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> tuple[Mo
     """(quality, toxicity)"""
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).where("doc_id is not null")
     chosen = [tuple(r) for r in wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "q", "t").limit(sample_rows).collect()]
-    rows = sample_features(docs.where(F.col("doc_id").isin([r[0] for r in chosen]))).collect() if chosen else []
-    by_id = {r[0]: np.frombuffer(r[1], np.uint64) for r in sorted(rows, key=lambda r: (r[0], r[1]))}
+    here = F.broadcast(docs.sparkSession.createDataFrame([(r[0],) for r in chosen], "doc_id long").distinct())
+    rows = sample_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(here, "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("features").alias("features")).collect()
+    by_id = {r[0]: np.frombuffer(r[1], np.uint64) for r in rows}
     out = []
     for k in (1, 2):
         have = [r for r in chosen if r[0] in by_id and r[k] is not None]
@@ -181,6 +186,14 @@ def posteriors(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str,
     return out, {k: (mean[k], _strength(mean[k], inside[k])) for k in ("q", "t")}
 
 
+def _with_sites(found: DataFrame, sites: DataFrame) -> DataFrame:
+    """The documents with their site's sums: sites are sent to all executors if they are few, else both sides are dealt by site and one of SALTS numbers."""
+    if sites.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        return found.join(F.broadcast(sites), ["host", "path"])
+    salted = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "q", "t"), F.lit(SALTS)).cast("int")).join(salted, ["host", "path", "salt"]).drop("salt")
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample_rows: int = 6000) -> DataFrame:
     """doc_id, p_quality, p_toxic, site_quality (its path's shrunk mean without itself), kept (good and not toxic).
 
@@ -191,7 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     scratch = Scratch(docs.sparkSession, "sites")
     found = scratch.keep(evidence(docs, fit(docs, labels, sample_rows), host, path))
     sites, prior = posteriors(found, scratch)
-    joined = found.join(sites, ["host", "path"])
+    joined = _with_sites(found, sites)
     site, odds = {}, {}
     for k in ("q", "t"):
         mean, strength = prior[k]
