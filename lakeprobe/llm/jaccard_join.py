@@ -23,7 +23,9 @@ are counted as one class with its size, and the classes of a component are compa
 other, all of them, in chunks; only sums leave a comparison, so no row is made for a pair.
 
 Defined cases: a null text or one without words has an empty set, linked with nothing; fewer
-words than five are one shingle; equal sets link; a null doc_id links with nothing.
+words than five are one shingle; equal sets link; a null doc_id links with nothing; rows that repeat a
+doc_id with one text are one document (with several texts, the result is of one of them for each
+row); very long texts are read whole; other columns don't get in.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, docu
 from .kernels import fitting, gram_hashes, mix, slices, word_hashes, words
 
 SKETCH_BITS = 20
+#: Sketches are added up in groups of so many, then those of the groups.
+MERGED = 64
 #: Least bits of a parity sketch; a larger set has as many as the next power of two from its size.
 PARITY_BITS = 1024
 
@@ -66,29 +71,34 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Counts of shingles by the top bits of their hashes, over all documents; 2**SKETCH_BITS numbers whatever the input's size."""
     block = 1 << 14
 
+    def rows(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        group = TaskContext.get().partitionId() // MERGED
+        blobs = [pa.compress(x.astype(np.uint64).tobytes(), "zstd", asbytes=True) for x in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array([group] * len(held), pa.int32()), pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], names=["group", "block", "counts"])
+
     def count(batches):
-        held = np.zeros(1 << SKETCH_BITS, np.uint32)
+        held = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for part in slices(batch.column(1)):
                 h, _ = shingles(part, size)
-                held += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(held)).astype(np.uint32)
-        for b in range(0, len(held), block):
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([held[b : b + block].tobytes()], pa.binary())], names=["block", "counts"])
+                held += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(held))
+        yield rows({b: held[b : b + block] for b in range(0, len(held), block)})
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(raw.as_py(), np.uint32).astype(np.uint64)
+            for b, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = np.frombuffer(pa.decompress(raw.as_py(), block * 8, "zstd"), np.uint64)
                 held[b] = held[b] + x if b in held else x
-        for b, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "counts"])
+        if held:
+            yield rows(held)
 
-    counted = documents(docs).mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
+    schema = "group int, block int, counts binary"
+    counted = documents(docs).mapInArrow(count, schema).repartition("group", "block").mapInArrow(add, schema).repartition("block").mapInArrow(add, schema)
     out = np.zeros(1 << SKETCH_BITS, np.uint64)
     with shuffles_removed(docs.sparkSession):
-        for b, raw in counted.collect():
-            out[b : b + block] = np.frombuffer(raw, np.uint64)
+        for _, b, raw in counted.collect():
+            out[b : b + block] = np.frombuffer(pa.decompress(bytes(raw), block * 8, "zstd"), np.uint64)
     return out
 
 

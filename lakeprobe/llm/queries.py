@@ -53,7 +53,8 @@ def op6_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import fixity
 
     pages = read(spark, sf_dir, "pages")
-    return fixity.audit(fixity.records(pages), fixity.records(fixity.planted_faults(pages)))
+    found = fixity.records(pages)
+    return fixity.audit(found, fixity.damaged(found), placement=True)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +66,6 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard_join
 
-    return jaccard_join.components(read(spark, sf_dir, "documents"))
-
-
-def op8_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_jaccard_join with the number of links of each document."""
-    from . import jaccard_join
-
     return jaccard_join.links(read(spark, sf_dir, "documents"))
 
 
@@ -101,7 +95,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_quality_rules, op2_suffix_dedup, op3_language_id, op4_packing, op5_substring_dedup, op6_fixity_audit, op7_quality_classifier, op8_jaccard_join, op8_jaccard_links, op9_decontamination, op10_secret_scan)
+    found = (op1_quality_rules, op2_suffix_dedup, op3_language_id, op4_packing, op5_substring_dedup, op6_fixity_audit, op7_quality_classifier, op8_jaccard_join, op9_decontamination, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 

@@ -303,6 +303,18 @@ def test_audit_finds_changed_missing_and_extra(spark):
     assert fixity.records(none).count() == 1
 
 
+def test_a_key_of_many_records(spark):
+    """One key of several contents with copies: one leaf, records one after the other, found as a whole if one copy is gone."""
+    rows = [(5, "u", f"text {k % 40}", "x") for k in range(100)] + [(6, "u", "after", "x"), (4, "u", "before", "x")]
+    a = fixity.records(spark.createDataFrame(rows, "page_id long, url string, html string, key string")).cache()
+    got = a.orderBy("offset").collect()
+    assert [r["key"] for r in got] == [4, *[5] * 40, 6] and sum(r["copies"] for r in got) == 102
+    assert all(x["offset"] + x["length"] == y["offset"] for x, y in zip(got, got[1:], strict=False)) and got[0]["offset"] == 0
+    b = fixity.records(spark.createDataFrame(rows[1:], "page_id long, url string, html string, key string"))
+    assert [(r["page_id"], r["status"]) for r in fixity.audit(a, b).collect()] == [(5, "changed")]
+    assert fixity.audit(a, a.repartition(7), placement=True).count() == 0
+
+
 def test_placement_is_audited(spark):
     schema = "key long, archive long, offset long, length long, digest string"
     here = [(i, i // 50, i % 50 * 10, 10, f"d{i}") for i in range(100)]
