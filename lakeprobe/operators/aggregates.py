@@ -11,8 +11,8 @@ from ..functions.predicates import finite
 
 #: Rows up to which Spark's own exact percentile (whose memory grows with distinct values) is used.
 SMALL_ROWS = 2_000_000
-#: Distinct values of a bracket that may come to the driver.
-BRACKET_VALUES = 50_000
+#: Parts that a bracket is cut into: so many rows a bracket come to the driver in a round.
+BRACKET_PARTS = 4096
 
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
@@ -58,10 +58,8 @@ def moments(value: Column, prefix: str = "") -> list[Column]:
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], n_rows: int | None = None) -> dict[str, list[float] | None]:
     """Quantiles with linear interpolation of each column's finite values.
 
-    Small tables use the built-in percentile.  For larger ones the wanted ranks are
-    bracketed with the approximate percentile, counts below the bracket are exact,
-    and brackets are narrowed until their distinct values fit on the driver, so that
-    memory does not grow with the table.
+    Small tables use the built-in percentile.  For larger ones, with the same results, the wanted ranks are
+    bracketed and the brackets narrowed by exact counts, so that memory does not grow with the table.
     """
     if not columns:
         return {}
@@ -73,43 +71,33 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
 
 
 def _by_brackets(values: DataFrame, probabilities: Sequence[float]) -> list[float] | None:
-    n = values.count()
+    """Brackets of the wanted ranks are cut into equal parts until a part has one value only; each round is one job for all of them."""
+    n, low, high = values.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if not n:
         return None
-    ranks = {r for p in probabilities for r in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))}
+    ranks = sorted({r for p in probabilities for r in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))})
     found: dict[int, float] = {}
-    for rank in sorted(ranks):
-        if rank in found:
-            continue
-        low, high = float("-inf"), float("inf")
-        while True:
-            inside = values.where((F.col("x") >= low) & (F.col("x") <= high))
-            below = 0 if low == float("-inf") else values.where(F.col("x") < low).count()
-            counts = inside.groupBy("x").count()
-            if counts.limit(BRACKET_VALUES + 1).count() <= BRACKET_VALUES:
-                at = below
-                for r in sorted(counts.collect()):
-                    for other in ranks:
-                        if at <= other < at + r[1]:
-                            found[other] = r[0]
-                    at += r[1]
-                break
-            m = inside.count()
-            share = (rank - below) / m
-            step = 0.002
-            a, b = inside.agg(F.percentile_approx("x", [max(0.0, share - step), min(1.0, share + step)], 10_000)).first()[0]
-            new = inside.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x") <= b)).first()
-            a = a if below + new[0] <= rank else low
-            b = b if below + new[1] > rank else high
-            if (a, b) == (low, high):
-                break
-            low, high = a, b
+    brackets = [(low, high, 0, ranks)]  # least and greatest value, rows below, ranks inside
+    while brackets:
+        parts, x = [], F.col("x")
+        for j, (a, b, _, _) in enumerate(brackets):
+            place = F.lit(0) if a == b else F.floor((x / 2 - a / 2) / (b / 2 - a / 2) * BRACKET_PARTS)
+            parts.append(F.when((x >= a) & (x <= b), F.struct(F.lit(j).alias("j"), F.least(place, F.lit(BRACKET_PARTS - 1)).cast("int").alias("part"))))
+        cells = values.select("x", F.explode(F.array_compact(F.array(*parts))).alias("at")).groupBy("at.j", "at.part").agg(F.count("*"), F.min("x"), F.max("x"))
+        later, below = [], {j: b[2] for j, b in enumerate(brackets)}
+        for j, _, size, a, b in sorted(map(tuple, cells.collect())):
+            inside = [r for r in brackets[j][3] if below[j] <= r < below[j] + size]
+            if a == b:
+                found |= dict.fromkeys(inside, a)
+            elif inside:
+                later.append((a, b, below[j], inside))
+            below[j] += size
+        brackets = later
     out = []
     for p in probabilities:
         k = p * (n - 1)
-        i = int(k)
-        a, b = found[i], found[min(n - 1, i + 1)]
-        out.append(a + (b - a) * (k - i))
+        a, b = found[int(k)], found[min(n - 1, int(k) + 1)]
+        out.append(a + (b - a) * (k - int(k)))
     return out
 
 

@@ -119,9 +119,18 @@ def contingency(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 
 def cramers_table(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    """rows, cols, n, chi2, least_expected: one row."""
-    table = contingency(df, a, b)
-    return table.agg(F.count_distinct("x").alias("rows"), F.count_distinct("y").alias("cols"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum((F.col("n") - F.col("expected")) * (F.col("n") - F.col("expected")) / F.col("expected")).alias("chi2"), F.min("expected").alias("least_expected"))
+    """rows, cols, n, chi2, least_expected: one row.
+
+    Only pairs of values that meet have a row; those that never do add what is expected of them, which is
+    the total less what is expected of the others.
+    """
+    cells = df.select(a.alias("x"), b.alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("n"))
+    rows, cols = cells.groupBy("x").agg(F.sum("n").alias("nx")), cells.groupBy("y").agg(F.sum("n").alias("ny"))
+    sides = rows.agg(F.count("*").alias("rows"), F.min("nx").alias("ax"), F.coalesce(F.sum("nx"), F.lit(0)).alias("total")).crossJoin(cols.agg(F.count("*").alias("cols"), F.min("ny").alias("ay")))  # one row each
+    met = cells.join(rows, "x").join(cols, "y").crossJoin(F.broadcast(sides))
+    expected = F.col("nx") * F.col("ny") / F.col("total")
+    sums = met.agg(F.sum((F.col("n") - expected) * (F.col("n") - expected) / expected).alias("differ"), F.sum(expected).alias("met"))
+    return sides.crossJoin(sums).select("rows", "cols", F.col("total").alias("n"), (F.col("differ") + F.greatest(F.lit(0.0), F.col("total") - F.col("met"))).alias("chi2"), (F.col("ax") * F.col("ay") / F.col("total")).alias("least_expected"))
 
 
 def cramers_v(df: DataFrame, a: Column, b: Column) -> Effect | None:

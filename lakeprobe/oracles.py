@@ -184,6 +184,49 @@ ORACLES["group_means"] = "SELECT l_orderkey, l_linenumber, round(avg(l_quantity)
 ORACLES["quantile_bins"] = """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.75) AS c FROM orders)
 SELECT ((o_totalprice >= a)::INT + (o_totalprice >= b)::INT + (o_totalprice >= c)::INT)::BIGINT AS bin, count(*) AS n FROM orders, q GROUP BY 1"""
 
+_SOME_GAPS = ("l_quantity", "l_discount", "l_tax", "l_returnflag")
+ORACLES["missingness_metrics"] = " UNION ALL ".join(
+    [f"SELECT '{c}' AS name, count_if({c} IS NULL)::BIGINT AS n_missing, round(avg(({c} IS NULL)::DOUBLE), 8) AS rate, count_if({c} IS NULL) = 0 AS complete FROM {_GAPS}" for c in _SOME_GAPS]
+    + [f"SELECT '(rows)' AS name, count_if({' OR '.join(f'{c} IS NULL' for c in _SOME_GAPS)})::BIGINT AS n_missing, round(avg(({' OR '.join(f'{c} IS NULL' for c in _SOME_GAPS)})::DOUBLE), 8) AS rate, false AS complete FROM {_GAPS}"]
+)
+ORACLES["constants_metrics"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, CASE WHEN count(*) = 1 THEN 'constant' WHEN max(n) >= 0.99 * sum(n) THEN 'near_constant' ELSE 'varying' END AS kind, sum(n)::BIGINT AS non_null, count(*) AS n_distinct, round(max(n) / sum(n), 8) AS top_share FROM (SELECT {e} AS v, count(*) AS n FROM part GROUP BY 1)"
+    for name, e in (("p_partkey", "p_partkey"), ("size_is_one", "p_size = 1"), ("always", "'same'"), ("is_seven", "p_partkey = 7"))
+)
+ORACLES["duplicates_metrics"] = f"SELECT *, round(duplicate_rows / (SELECT count(*) FROM documents), 8) AS rate FROM ({_duplicates('text, lang, source, n_chars')})"
+
+
+def _outliers(source: str, c: str) -> str:
+    return f"""(WITH q AS (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, avg({c}) AS m, stddev_samp({c}) AS s FROM {source}),
+f AS (SELECT {c} AS x, q.*, {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) AS mild, {c} < q1 - 3 * (q3 - q1) OR {c} > q3 + 3 * (q3 - q1) AS far, abs(({c} - m) / s) > 3 AS z FROM {source}, q WHERE {c} IS NOT NULL)
+SELECT '{c}' AS name, round(max(q1), 6) AS q1, round(max(q3), 6) AS q3, round(max(q1 - 1.5 * (q3 - q1)), 6) AS mild_low, round(max(q3 + 1.5 * (q3 - q1)), 6) AS mild_high, round(max(q1 - 3 * (q3 - q1)), 6) AS extreme_low,
+round(max(q3 + 3 * (q3 - q1)), 6) AS extreme_high, round(count_if(mild OR z) / count(*), 6) AS rate, count(*) AS n, count_if(mild)::BIGINT AS iqr_flagged, count_if(far)::BIGINT AS iqr_extreme, count_if(z)::BIGINT AS z_flagged,
+count_if(mild AND z)::BIGINT AS both_flagged, count_if(mild OR z)::BIGINT AS flagged, count_if(far AND z)::BIGINT AS extreme FROM f)"""
+
+
+ORACLES["outliers_metrics"] = " UNION ALL ".join([*(_outliers(_GAPS, c) for c in ("l_quantity", "l_extendedprice", "l_discount")), _outliers("events", "value")])
+ORACLES["dtypes_metrics"] = rf"""WITH t AS (SELECT CASE WHEN event_id % 40 = 0 THEN 'n' || (event_id % 7) ELSE regexp_extract(props, '[0-9]+') END AS t FROM events), o AS (SELECT t, regexp_full_match(trim(t), '{_NUM}') AS ok FROM t),
+k AS (SELECT t, count(*) AS n FROM o WHERE NOT ok GROUP BY 1 ORDER BY n DESC, t LIMIT 5)
+SELECT 'units' AS name, 'numbers_as_text' AS kind, count(t) AS non_null, round(avg(ok::DOUBLE), 8) AS numeric_share, count_if(NOT ok)::BIGINT AS non_numeric, count_if(ok AND regexp_matches(t, '^[+-]?0\d'))::BIGINT AS leading_zero,
+(SELECT string_agg(t || ':' || n, ',' ORDER BY n DESC, t) FROM k) AS tokens FROM o"""
+ORACLES["impossible_metrics"] = """SELECT 'age' AS name, count(l_linenumber) AS checked, count_if(l_linenumber * 40 > 120 OR l_linenumber < 0)::BIGINT AS impossible, round(avg((l_linenumber * 40 > 120)::DOUBLE), 8) AS rate, (max(l_linenumber) * 40)::VARCHAR AS greatest FROM lineitem
+UNION ALL SELECT 'l_shipdate', count(l_shipdate), 0, 0.0, strftime(max(l_shipdate), '%Y-%m-%d') FROM lineitem"""
+ORACLES["pii_metrics"] = """WITH n AS (SELECT count(*) AS n, count_if(c_custkey % 10 < 8)::BIGINT AS mail, count_if(c_custkey % 899 + 1 <> 666 AND c_custkey % 5000 <> 0)::BIGINT AS ssn FROM customer)
+SELECT 'contact' AS name, 'email' AS kind, CASE WHEN mail >= 0.8 * n THEN 'column' ELSE 'partial' END AS evidence, '' AS format, mail AS matched, n AS checked FROM n
+UNION ALL SELECT 'tax_ref', 'national_id', 'column', 'us_ssn', ssn, n FROM n UNION ALL SELECT 'email', 'email', 'name', '', 0, 0 UNION ALL SELECT 'phone_number', 'phone', 'name', '', 0, 0"""
+_STATISTICS = {"count": "count(x)", "missing": "count_if(x IS NULL)", "mean": "avg(x)", "std": "stddev_samp(x)", "min": "min(x)", "q1": "quantile_cont(x, 0.25)", "median": "quantile_cont(x, 0.5)", "q3": "quantile_cont(x, 0.75)", "max": "max(x)", "skew": "skewness(x)"}
+ORACLES["univariate_metrics"] = " UNION ALL ".join(
+    [f"SELECT 'o_totalprice' AS name, '{k}' AS statistic, NULL::VARCHAR AS label, round(({e})::DOUBLE, 6) AS value FROM (SELECT o_totalprice AS x FROM orders)" for k, e in _STATISTICS.items()]
+    + ["SELECT 'o_orderpriority', 'label', o_orderpriority, count(*)::DOUBLE FROM orders GROUP BY o_orderpriority", "SELECT 'o_orderpriority', 'distinct', NULL, count(DISTINCT o_orderpriority)::DOUBLE FROM orders"]
+)
+_BY_STATUS = {c: "(" + _ETA.format(g="o_orderstatus", v=v, t="orders") + f" SELECT '{c}' AS name, 'eta_squared' AS kind, round(sqrt(between_ / (between_ + within)), 6) AS effect FROM s, b)" for c, v in (("o_totalprice", "o_totalprice"), ("o_orderdate", "datediff('day', DATE '1970-01-01', o_orderdate::DATE)"))}
+_LEAKS = [_leak("'s-' || o_orderstatus", "status_copy"), _leak("o_orderpriority", "o_orderpriority"), _BY_STATUS["o_totalprice"]]
+ORACLES["relationships_metrics"] = " UNION ALL ".join([*_LEAKS, "SELECT o_orderstatus, 'share', round(count(*) / sum(count(*)) OVER (), 6) FROM orders GROUP BY 1"])
+ORACLES["leakage_metrics"] = f"SELECT name, effect, effect >= 0.9 AND effect < 0.999 AS near_perfect, effect >= 0.999 AS copied FROM ({' UNION ALL '.join(_LEAKS)})"
+ORACLES["splits_metrics"] = f"""SELECT 'expected_test_rows' AS name, round(count(*) * 0.2::DOUBLE, 6) AS value, count(*) * 0.2 < 30 AS flagged FROM orders
+UNION ALL (SELECT 'minority_share', round(min(n) / sum(n), 6), min(n) / sum(n) < 0.1 FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)) UNION ALL SELECT name, effect, effect >= 0.3 FROM {_BY_STATUS["o_orderdate"]}"""
+ORACLES["embedded_phones"] = "SELECT count(*) AS checked, count_if(c_custkey % 4 <= 1)::BIGINT AS contact FROM customer"
+
 assert all(re.fullmatch(r"\w+", k) for k in ORACLES)
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..core.results import Finding, Result, Settings, Severity, count_of, listed, number
@@ -266,6 +267,22 @@ def numeric_summary(table: Table) -> dict[str, dict]:
     return table.remember("numeric_summary", make)
 
 
+def _first_odd(table: Table, fences: dict) -> dict[str, list[int]]:
+    """By column the first positions of flagged values, in one job; ranks are cut off before rows are moved."""
+    if not fences:
+        return {}
+    odd = []
+    for c, f in fences.items():
+        x = P.finite(F.col(c.id))
+        odd.append(F.when((x < f["mild_low"]) | (x > f["mild_high"]) | (F.abs((x - f["mean"]) / f["std"]) > Z), F.lit(c.id)))
+    rows = table.positioned.select(POSITION, F.explode(F.array_compact(F.array(*odd))).alias("c"))
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(POSITION))).where(F.col("r") <= POSITIONS_KEPT)
+    out: dict[str, list[int]] = {c.id: [] for c in fences}
+    for c, position in sorted(map(tuple, ranked.select("c", POSITION).collect())):
+        out[c].append(position)
+    return out
+
+
 def outliers(table: Table, settings: Settings) -> Result:
     n = table.need_rows("outliers")
     kinds, known, numbers = semantic_types(table), facts(table), numeric_summary(table)
@@ -291,14 +308,12 @@ def outliers(table: Table, settings: Settings) -> Result:
     assessed = [c for c in columns if c.id in fences]
     if assessed:
         counts = _outlier_counts(table, assessed, fences)
+        for c, positions in _first_odd(table, {c: fences[c.id] for c in assessed if counts[c.id]["flagged"]}).items():
+            entries[c]["first_positions"] = positions
         for c in assessed:
-            e, f = entries[c.id], fences[c.id]
+            e = entries[c.id]
             e |= counts[c.id]
             e["rate"] = e["flagged"] / e["n"]
-            if e["flagged"]:
-                x = P.finite(F.col(c.id))
-                odd = (x < f["mild_low"]) | (x > f["mild_high"]) | (F.abs((x - f["mean"]) / f["std"]) > Z)
-                e["first_positions"] = [r[0] for r in table.positioned.where(odd).select(POSITION).orderBy(POSITION).limit(POSITIONS_KEPT).collect()]
     out = []
     extreme = [e for e in entries.values() if e["extreme"]]
     some = [e for e in entries.values() if e["flagged"] and not e["extreme"]]

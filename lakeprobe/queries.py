@@ -406,10 +406,10 @@ def seeded_sample(spark, sf_dir):
 
 @query
 def group_means(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_returnflag", "l_linestatus")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r6(F.avg("l_quantity").over(w), "group_mean"))
+    df, keys = read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"]
+    means = df.groupBy(*keys).agg(F.avg("l_quantity").alias("m")).alias("g")
+    same = F.col("d.l_returnflag").eqNullSafe(F.col("g.l_returnflag")) & F.col("d.l_linestatus").eqNullSafe(F.col("g.l_linestatus"))
+    return df.alias("d").join(means, same).select("l_orderkey", "l_linenumber", r6(F.col("m"), "group_mean"))
 
 
 @query
@@ -421,6 +421,150 @@ def quantile_bins(spark, sf_dir):
     return df.crossJoin(e).groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
+# --- analyzers: their metrics as tables
+
+
+def _settings():
+    from .core.results import Settings
+
+    return Settings()
+
+
+def _numbers(spark, sf_dir) -> DataFrame:
+    return with_gaps(read(spark, sf_dir, "lineitem")).select("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query
+def missingness_metrics(spark, sf_dir):
+    from .plans.quality import missingness
+
+    found = missingness(Table(with_gaps(read(spark, sf_dir, "lineitem")).select("l_quantity", "l_discount", "l_tax", "l_returnflag"), "lineitem"), _settings()).metrics
+    rows = [(m["name"], m["n_missing"], m["rate"], m["dependence"] == "no_missing") for m in found["columns"]]
+    rows.append(("(rows)", found["overall"]["rows_with_missing"], found["overall"]["row_rate"], False))
+    return _long(spark, rows, "name string, n_missing long, rate double, complete boolean").withColumn("rate", F.round("rate", 8))
+
+
+@query
+def constants_metrics(spark, sf_dir):
+    from .plans.quality import constants
+
+    df = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") == 1).alias("size_is_one"), F.lit("same").alias("always"), (F.col("p_partkey") == 7).alias("is_seven"))
+    rows = [(m["name"], m["kind"], m["non_null"], m["distinct"], m["top_share"]) for m in constants(Table(df, "part"), _settings()).metrics["columns"]]
+    return _long(spark, rows, "name string, kind string, non_null long, n_distinct long, top_share double").withColumn("top_share", F.round("top_share", 8))
+
+
+@query
+def duplicates_metrics(spark, sf_dir):
+    from .plans.quality import duplicates
+
+    m = duplicates(Table(read(spark, sf_dir, "documents").select("text", "lang", "source", "n_chars"), "documents"), _settings()).metrics["rows"]
+    rows = [(m["duplicate_rows"], m["duplicate_groups"], m["largest_group"], m["rate"])]
+    return _long(spark, rows, "duplicate_rows long, duplicate_groups long, largest_group long, rate double").withColumn("rate", F.round("rate", 8))
+
+
+_FENCED = ("q1", "q3", "mild_low", "mild_high", "extreme_low", "extreme_high", "rate")
+_FLAGGED = ("n", "iqr_flagged", "iqr_extreme", "z_flagged", "both_flagged", "flagged", "extreme")
+
+
+@query
+def outliers_metrics(spark, sf_dir):
+    from .plans.quality import outliers
+
+    found = outliers(Table(_numbers(spark, sf_dir), "lineitem"), _settings()).metrics["columns"]
+    found += outliers(Table(read(spark, sf_dir, "events").select("value"), "events"), _settings()).metrics["columns"]
+    rows = [(m["name"], *(m[k] for k in _FENCED), *(m[k] for k in _FLAGGED)) for m in found]
+    out = _long(spark, rows, "name string, " + ", ".join(f"{k} double" for k in _FENCED) + ", " + ", ".join(f"{k} long" for k in _FLAGGED))
+    return out.withColumns({k: F.round(k, 6) for k in _FENCED})
+
+
+@query
+def dtypes_metrics(spark, sf_dir):
+    from .plans.quality import dtypes
+
+    units = F.when(F.col("event_id") % 40 == 0, F.concat(F.lit("n"), (F.col("event_id") % 7).cast("string"))).otherwise(F.regexp_extract("props", "[0-9]+", 0))
+    found = dtypes(Table(read(spark, sf_dir, "events").select("event_type", units.alias("units")), "events"), _settings()).metrics["columns"]
+    rows = [(m["name"], m["kind"], m["non_null"], m["numeric_share"], m["non_numeric"], m["leading_zero"], ",".join(f"{t['token']}:{t['count']}" for t in m["tokens"])) for m in found]
+    return _long(spark, rows, "name string, kind string, non_null long, numeric_share double, non_numeric long, leading_zero long, tokens string").withColumn("numeric_share", F.round("numeric_share", 8))
+
+
+@query
+def impossible_metrics(spark, sf_dir):
+    from .plans.quality import impossible
+
+    df = read(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * 40).alias("age"), "l_shipdate")
+    found = {m["rule"]: m for m in impossible(Table(df, "lineitem"), _settings()).metrics["columns"]}
+    age, date = found["age"], found["date"]
+    rows = [(age["name"], age["checked"], age["negative"] + age["above_maximum"], age["rate"], f"{age['max']:g}"), (date["name"], date["checked"], date["invalid"] + date["future"], date["rate"], date["latest"])]
+    return _long(spark, rows, "name string, checked long, impossible long, rate double, greatest string").withColumn("rate", F.round("rate", 8))
+
+
+@query
+def pii_metrics(spark, sf_dir):
+    from .plans.privacy import pii
+
+    k = F.col("c_custkey")
+    text = F.when(k % 10 < 8, F.concat(F.lit("user"), k.cast("string"), F.lit("@mail.org"))).otherwise("none")
+    df = read(spark, sf_dir, "customer").select(text.alias("contact"), F.format_string("%03d-%02d-%04d", k % 899 + 1, k % 99 + 1, k % 5000).alias("tax_ref"), F.concat(F.lit("x"), k.cast("string")).alias("email"), "c_mktsegment", k.alias("phone_number"))
+    rows = [(m["name"], m["kind"], m["evidence"], m["format"] or "", m["matched"] or 0, m["checked"] or 0) for m in pii(Table(df, "customer"), _settings()).metrics["columns"]]
+    return _long(spark, rows, "name string, kind string, evidence string, format string, matched long, checked long")
+
+
+@query
+def univariate_metrics(spark, sf_dir):
+    from .plans.eda import univariate
+
+    df = read(spark, sf_dir, "orders").select("o_totalprice", "o_orderpriority")
+    rows = []
+    for m in univariate(Table(df, "orders"), _settings()).metrics["columns"]:
+        s = m["statistics"]
+        if m["semantic_type"] == "numeric":
+            rows += [(m["name"], k, None, float(s[k])) for k in ("count", "missing", "mean", "std", "min", "q1", "median", "q3", "max", "skew")]
+        else:
+            rows += [(m["name"], "label", t["label"], float(t["count"])) for t in s["top"]] + [(m["name"], "distinct", None, float(s["distinct"]))]
+    return _long(spark, rows, "name string, statistic string, label string, value double").withColumn("value", F.round("value", 6))
+
+
+def _for_target(spark, sf_dir) -> Table:
+    df = read(spark, sf_dir, "orders").select("o_orderstatus", F.concat(F.lit("s-"), F.col("o_orderstatus")).alias("status_copy"), "o_orderpriority", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    return Table(df, "orders", target="o_orderstatus")
+
+
+@query
+def relationships_metrics(spark, sf_dir):
+    from .plans.eda import relationships
+
+    target = relationships(_for_target(spark, sf_dir), _settings()).metrics["target"]
+    rows = [(m["name"], m["kind"], m["effect"]) for m in target["associations"]]
+    rows += [(m["label"], "share", m["share"]) for m in target["class_balance"]["classes"]]
+    return _long(spark, rows, "name string, kind string, effect double").withColumn("effect", F.round("effect", 6))
+
+
+@query
+def leakage_metrics(spark, sf_dir):
+    from .plans.diagnostics import leakage
+
+    m = leakage(_for_target(spark, sf_dir), _settings()).metrics
+    rows = [(c, e, c in m["near_perfect"]["flagged"], c in m["duplicated"]["flagged"]) for c, e in m["near_perfect"]["effects"].items()]
+    return _long(spark, rows, "name string, effect double, near_perfect boolean, copied boolean").withColumn("effect", F.round("effect", 6))
+
+
+@query
+def splits_metrics(spark, sf_dir):
+    from .plans.diagnostics import split_strategy
+
+    m = split_strategy(_for_target(spark, sf_dir), _settings()).metrics
+    rows = [("expected_test_rows", m["small_n"]["expected_test_rows"], m["small_n"]["flagged"]), ("minority_share", m["stratification"]["minority_share"], m["stratification"]["flagged"])]
+    rows += [(c, e, c in m["temporal"]["flagged"]) for c, e in m["temporal"]["effects"].items()]
+    return _long(spark, rows, "name string, value double, flagged boolean").withColumn("value", F.round("value", 6))
+
+
+@query
+def embedded_phones(spark, sf_dir):
+    n = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    text = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("call +49 30 1234 "), n, F.lit(" now"))).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("write to a.b@c.org, "), n)).otherwise(F.concat(F.lit("order "), n))
+    return read(spark, sf_dir, "customer").select(text.alias("t")).agg(F.count("t").alias("checked"), F.count_if(P.has_contact(F.col("t"))).alias("contact"))
+
+
 @query
 def findings_ranked(spark, sf_dir):
     from .core.results import Settings

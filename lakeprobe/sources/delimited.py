@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core.errors import LoadError
+from ..core.table import POSITION, with_positions
 from ..functions import predicates as P
 
 # Texts that are read as missing.
 MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 TRUE, FALSE = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 ZERO_ROWS = 100_000
-#: Files up to this size are read as a whole, so that quoted fields may hold line breaks; larger ones are split at line ends.
-WHOLE_BYTES = 64 << 20
 _CORRUPT, _ROW = "__corrupt", "__row"
 
 
@@ -117,7 +116,7 @@ def leading_zeros(raw: DataFrame, ids: list[str], labels: dict[str, str]) -> dic
     for c in ids:
         v = missing_or(F.col(c))
         aggs += [F.count(v).alias(f"{c}_n"), F.count_if(v.rlike(r"\A0[0-9]")).alias(f"{c}_z"), F.min(F.length(v)).alias(f"{c}_a"), F.max(F.length(v)).alias(f"{c}_b"), F.count_if(v.startswith("-")).alias(f"{c}_m")]
-    row = raw.limit(ZERO_ROWS).agg(*aggs).first()
+    row = with_positions(raw).where(F.col(POSITION) < ZERO_ROWS).agg(*aggs).first()
     out = {}
     for c in ids:
         if row[f"{c}_z"] and not row[f"{c}_m"]:
@@ -135,8 +134,7 @@ def read_delimited(spark: SparkSession, path: str, separator: str, encoding: str
         raise LoadError(f"there are no columns {', '.join(absent[:20])} to keep as text")
     ids = [f"c{i}" for i in range(len(labels))]
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in ids), T.StructField(_CORRUPT, T.StringType())])
-    whole = not os.path.isfile(path) or os.path.getsize(path) <= WHOLE_BYTES
-    options = {"header": True, "sep": separator, "encoding": charset(encoding), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "multiLine": whole, "escape": '"', "enforceSchema": True, "nullValue": "\x00never\x00", "emptyValue": ""}
+    options = {"header": True, "sep": separator, "encoding": charset(encoding), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "multiLine": _breaks_in_fields(spark, path, encoding), "escape": '"', "enforceSchema": True, "nullValue": "\x00never\x00", "emptyValue": ""}
     read = spark.read.schema(schema).options(**options).csv(path)
     _refuse_long_rows(read, len(ids), separator)
     raw = read.drop(_CORRUPT).na.fill("")
@@ -153,6 +151,17 @@ def read_delimited(spark: SparkSession, path: str, separator: str, encoding: str
     return df.toDF(*labels), notes
 
 
+def _breaks_in_fields(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a field may hold a line break, whatever the file's size: some line has an odd number of quotes, or lines can't be told by bytes.
+
+    Only files that have such a line are read as a whole; all others are split at line ends.
+    """
+    if "\"\n".encode(encoding) != b'"\n':
+        return True
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).head(1))
+
+
 def _refuse_long_rows(read: DataFrame, n: int, separator: str) -> None:
     """Spark marks short and long rows alike; the marked ones alone are parsed again."""
 

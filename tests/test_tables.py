@@ -133,11 +133,24 @@ def test_quantiles_by_brackets_equal_the_builtin(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     want = A.exact_quantiles(df, ["x"], [0.25, 0.5, 0.9])
     monkeypatch.setattr(A, "SMALL_ROWS", 10)
-    monkeypatch.setattr(A, "BRACKET_VALUES", 100)
+    monkeypatch.setattr(A, "BRACKET_PARTS", 16)
     got = A.exact_quantiles(df, ["x"], [0.25, 0.5, 0.9])
     assert np.allclose(got["x"], want["x"]) and np.allclose(want["x"], np.quantile(values, [0.25, 0.5, 0.9]))
 
 
+def test_quantiles_between_heavy_values(spark, monkeypatch):
+    """Two values of many rows each, others between them, and numbers of very different size."""
+    monkeypatch.setattr(A, "BRACKET_PARTS", 16)
+    heavy = [0.0] * 2000 + [k / 300 for k in range(1, 300)] + [1.0] * 2000
+    wide = [10.0**k for k in range(-300, 300, 7)] + [-1e308, 1e308]
+    for values in (heavy, wide, [4.0], [2.0] * 9):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        probabilities = [0.0, 0.25, 0.5, 0.75, 1.0]
+        assert A._by_brackets(df, probabilities) == pytest.approx(np.quantile(values, probabilities).tolist(), rel=1e-12)
+    assert A._by_brackets(spark.createDataFrame([], "x double"), [0.5]) is None
+
+
+
 def test_effects_by_hand(spark):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (3.0, "a"), (7.0, "b"), (8.0, "b"), (9.0, "b")], "y double, g string")
     e = S.eta(df, F.col("y"), F.col("g"))
