@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeprobe.llm import fixity, jaccard_join, language_id, packing, positional_index, quality_rules, secret_scan, site_classifier, substring_levels, suffix_dedup
 from lakeprobe.llm.common import Scratch, bucket_count, build_filter, hash_blobs, in_filter
-from lakeprobe.llm.kernels import fitting, gram_hashes, leftmost_minima, slices, word_hashes, words
+from lakeprobe.llm.kernels import byte_gram_hashes, fitting, gram_hashes, leftmost_minima, slices, word_hashes, words
 from lakeprobe.llm.queries import queries, tokenizer_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -555,3 +555,111 @@ def test_pipeline_equals_brute_force(spark):
     assert {r["doc_id"]: r["doc_tokens"] for r in out} == want
     assert sum(r["length"] for r in out) == sum(want.values())
     assert hashlib.sha256  # the digests themselves are compared in test_packing_round_trip
+
+
+# --- cases that every operator defines
+
+
+def alike(rounds: int = 10) -> tuple[str, str]:
+    """Two different texts of 1,024 letters that every polynomial hash modulo 2**64 takes for the same."""
+    a = "a"
+    for _ in range(rounds):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_that_simple_hashes_confuse(spark):
+    a, b = ("q" * 9 + x for x in alike())
+    part = next(slices(pa.array([f"{a}\n{b}", f"{a} {b}"])))
+    assert quality_rules.count_slice(part)["n_dup_lines"].tolist() == [0, 0]
+    for seed in (1, 2, 3):
+        assert len(set(word_hashes(part, words(part), seed=seed).tolist())) == 2
+    long = np.frombuffer((a + b).encode(), np.uint8)
+    assert len(set(byte_gram_hashes(long, len(a))[[0, len(a)]].tolist())) == 2
+    assert len(set(gram_hashes(long.astype(np.uint64), len(a))[[0, len(a)]].tolist())) == 2
+    from tokenizers import Tokenizer
+
+    tok, encoder = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    ids, bounds = encoder.encode(part)
+    assert ids[bounds[0] : bounds[1]].tolist() == tok.encode(f"{a}\n{b}", add_special_tokens=False).ids
+    filler = [f"w{k}" for k in range(60)]
+    d = spark.createDataFrame([(i, " ".join([*filler[:30], x, *filler[30:]])) for i, x in ((1, a), (2, b))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_levels.deduplicate(d).collect()}
+    assert got == {1: 0, 2: 0}
+    bench = spark.createDataFrame([(1, " ".join([*filler[25:30], a, *filler[30:34]]))], "item_id long, text string")
+    assert {r["doc_id"]: r["items"] for r in positional_index.matches(d, bench).collect()} == {1: ["1"], 2: []}
+
+
+def test_rows_that_share_an_id_lose_only_their_own(spark):
+    rng = random.Random(20)
+    one, other = (" ".join(f"{rng.random():.6f}" for _ in range(80)) for _ in range(2))
+    d = spark.createDataFrame([(1, one), (2, one), (2, other), (None, one)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_bytes"] - r["n_removed"] > 0) for r in suffix_dedup.deduplicate(d).collect())
+    assert got == [(0, True), (1, True), (2, False), (2, True)]
+    got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_levels.deduplicate(d).collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (2, 80)]
+
+
+def test_an_anchor_of_many_fragments_is_dealt_by_windows(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.decisions, "__defaults__", (suffix_dedup.CHUNK_BYTES, 200))
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.deduplicate(docs).collect()}
+    want = {i: (int(hit.sum()), int((np.diff(np.concatenate([[0], hit.astype(np.int8)])) == 1).sum())) for i, (_, hit) in spans_of(rows, 50, lambda t: t.encode()).items()}
+    assert got == want
+
+
+def test_odd_rows_in_every_operator(spark):
+    """Null texts and ids, an empty and a very long text, repeated rows, and columns with names that operators use."""
+    rng = random.Random(21)
+    long = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(250_000))
+    texts = [(1, "a clean text of a few words"), (2, None), (None, "no id here"), (3, ""), (4, long), (5, "a clean text of a few words"), (5, "a clean text of a few words"), (6, "é \U0001f600 漢")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0, 1, 2.0, "x", 3) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, key long, q double, spans string, n int")
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, None), (None, 1, 1), (77, None, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "no id here"), (2, None), (3, "")], "item_id long, text string")
+    n = len(texts)
+    assert quality_rules.apply(d, labels).count() == suffix_dedup.deduplicate(d, digest=True).count() == substring_levels.deduplicate(d, digest=True).count() == n
+    assert language_id.identify(d, language_id.sample_texts(d)).count() == site_classifier.classify(d, labels).count() == secret_scan.find_secrets(d).count() == n
+    joined = {(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_join.links(d).where("doc_id is not null").collect()}
+    assert {(1, 1, 2), (5, 1, 2), (4, 4, 0), (2, 2, 0), (3, 3, 0)} <= joined
+    assert sorted(str(r["doc_id"]) for r in positional_index.matches(d, bench).where("size(spans) > 0").collect()) == ["None"]
+    pieces = packing.pack(d, tokenizer_path(), with_ids=False).drop("ids")
+    assert pieces.where("start = 0").count() == n
+    for stage in (language_id.keep_identified(d, language_id.sample_texts(d)), positional_index.keep_clean(d, bench), secret_scan.redact(d)):
+        assert stage.columns == d.columns and stage.count() >= 5
+
+
+def test_base_columns_of_the_secret_query_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    kinds = {"assign": (r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), "access": ("AKIA[A-Z0-9]+", 0, 18), "hex": ("[0-9a-f]+", 0, 16)}
+    got = {r["doc_id"]: r for r in queries()["op10_secret_scan"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        found = []
+        for k, (kind, (pattern, group, least)) in enumerate(kinds.items()):
+            hits = [m.span() for m in re.finditer(pattern, r["text"] or "") if len(m.group(group)) >= least]
+            assert got[r["doc_id"]][f"n_{kind}"] == len(hits)
+            found += [(a, k, f"{kind}:{a}:{b}") for a, b in hits]
+        assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(",".join(x for _, _, x in sorted(found)).encode()).hexdigest()
+
+
+def test_posteriors_equal_numpy(spark, monkeypatch):
+    """Grouped sums, moments, shrinkage and the document's own share taken out, with and without dealing sites by salt."""
+    rng = np.random.default_rng(22)
+    host, path = rng.integers(0, 4, 300), rng.integers(0, 3, 300)
+    z = rng.normal(size=(300, 2)) + host[:, None] - 1.5
+    found = spark.createDataFrame([(i, f"h{a}", f"p{b}", float(x), float(y)) for i, (a, b, (x, y)) in enumerate(zip(host, path, z, strict=True))], "doc_id long, host string, path string, q double, t double")
+    sites, prior = site_classifier.posteriors(found, Scratch(spark, "posteriors"))
+    held = {(r["host"], r["path"]): r for r in sites.collect()}
+    for k, name in enumerate("qt"):
+        p = 1 / (1 + np.exp(-z[:, k]))
+        mean = p.mean()
+        sizes, sums = np.bincount(host), np.bincount(host, weights=p)
+        m = sums / sizes
+        between = (sizes * (m - mean) ** 2 - m * (1 - m)).sum() / 300
+        strength = min(10_000, max(2, mean * (1 - mean) / between - 1)) if between > 0 else 10_000
+        shrunk = (sums + strength * mean) / (sizes + strength)
+        assert prior[name][0] == pytest.approx(mean)
+        for (h, g), r in held.items():
+            own = (host == int(h[1])) & (path == int(g[1]))
+            assert r["n"] == own.sum() and r[f"s{name}"] == pytest.approx(p[own].sum()) and r[f"h{name}"] == pytest.approx(shrunk[int(h[1])])
+    few = sorted(map(tuple, site_classifier._with_sites(found, sites).select("doc_id", "n", "sq", "hq").collect()))
+    monkeypatch.setattr(site_classifier, "MOST_SENT", 1)
+    assert sorted(map(tuple, site_classifier._with_sites(found, sites).select("doc_id", "n", "sq", "hq").collect())) == few
