@@ -524,37 +524,90 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
 
 
+def folded_shingles(t: str | None) -> set:
+    w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def least_linked(texts: dict) -> dict:
+    """The least id that each one reaches by links, from all pairs."""
+    sets = {i: folded_shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    return root
+
+
+def masked(text: str) -> str:
+    spans = []
+    for rule in secret_scan.RULES:
+        spans += [(m.start(), m.end()) for m in re.finditer(rule.pattern, text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+    parts, at, last = [], 0, -1
+    for a, b in sorted(spans):
+        if a >= last:
+            parts += [text[at:a], "[secret]"]
+        at = last = max(last, b)
+    return "".join([*parts, text[at:]]) if spans else text
+
+
 def test_pipeline_equals_brute_force(spark):
+    """Which documents stay, their ids piece by piece, and the places of the pieces."""
+    from tokenizers import Tokenizer
+
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
     out = pipeline.run(spark, sf).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    left = {r["doc_id"] for r in queries()["op8_jaccard_join"](spark, sf).collect() if r["component_id"] == r["doc_id"]}
+    docs = {i: t for i, t in docs.items() if t and re.search(r"[^\W\d_]", t)}
+    docs = {i: docs[i] for i, r in least_linked(docs).items() if i == r}
     fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     grams = set()
     for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
         q = fold(r["text"])
         grams |= {tuple(q[k : k + 10]) for k in range(max(1, len(q) - 9))}
-    clean = {i for i in left if docs[i] and re.search(r"[^\W\d_]", docs[i]) and not any(tuple(w[k : k + 10]) in grams for w in [fold(docs[i])] for k in range(len(w)))}
-    from tokenizers import Tokenizer
-
     tok = Tokenizer.from_file(tokenizer_path())
-
-    def masked(text: str) -> str:
-        spans = []
-        for rule in secret_scan.RULES:
-            spans += [(m.start(), m.end()) for m in re.finditer(rule.pattern, text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-        parts, at, last = [], 0, -1
-        for a, b in sorted(spans):
-            if a >= last:
-                parts += [text[at:a], "[secret]"]
-            at = last = max(last, b)
-        return "".join([*parts, text[at:]]) if spans else text
-
-    want = {i: len(tok.encode(masked(docs[i]), add_special_tokens=False).ids) + 1 for i in clean}
-    assert {r["doc_id"]: r["doc_tokens"] for r in out} == want
-    assert sum(r["length"] for r in out) == sum(want.values())
-    assert hashlib.sha256  # the digests themselves are compared in test_packing_round_trip
+    want = {}
+    for i, t in docs.items():
+        w = fold(t)
+        if not any(tuple(w[k : k + n]) in grams for n in {len(g) for g in grams} for k in range(len(w) - n + 1)):
+            want[i] = [*tok.encode(masked(t), add_special_tokens=False).ids, 2]
+    at: dict = {}
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["start"])):
+        ids = want[r["doc_id"]]
+        assert r["start"] == at.get(r["doc_id"], 0) and r["doc_tokens"] == len(ids)
+        at[r["doc_id"]] = r["start"] + r["length"]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : at[r["doc_id"]]], "<u4").tobytes())
+    assert at == {i: len(ids) for i, ids in want.items()}
+    filled: dict = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    full, rest = divmod(sum(map(len, want.values())), 4096)
+    assert [filled[k] for k in range(len(filled))] == [4096] * full + [1 << b for b in reversed(range(12)) if rest >> b & 1]
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, tmp_path):
+    """Nulls, texts without a letter, repeated rows, columns with names that the stages use; and an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(23)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key long, place int, node long, part int"
+    text = [" ".join(f"{rng.choice('abc')}{rng.randint(0, 999)}" for _ in range(60)) for _ in range(4)]
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200_000))
+    rows = [(1, text[0]), (2, text[0] + " more"), (3, None), (4, ""), (5, "12 !"), (None, text[1]), (6, text[2]), (6, text[2]), (7, "x " + text[3]), (8, long), (9, f"{text[1]} z")]
+    spark.createDataFrame([(i, t, None, "s", 0, 1, 2, 3, 4) for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(text[3].split()[:12])), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+    got = Counter(r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).where("start = 0").collect())
+    assert got == {1: 1, None: 1, 6: 2, 8: 1, 9: 1}
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
 # --- cases that every operator defines
