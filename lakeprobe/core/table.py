@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,20 +18,32 @@ NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 MOMENTS = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def _scans_files(df: DataFrame) -> bool:
+    """Whether rows come from one scan of files, with nothing but columns and conditions on top, so that Spark can tell a row's file."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
 def with_positions(df: DataFrame) -> DataFrame:
-    """Adds gap-free positions from 0 in scan order: the place in a partition after the sizes of those before it.
+    """Adds gap-free positions from 0: files in the order of their paths, rows as they stand there, whatever the order in which Spark deals out files and their parts.
 
-    One number a partition comes to the driver; no row is moved.
+    Rows that do not come straight from files count in the order of their partitions.  A few values
+    for each part of a file come to the driver and go back as a broadcast; no row is moved.
     """
-    mask = (1 << 33) - 1
-    marked = df.withColumn("__m", F.monotonically_increasing_id())
-    sizes = {r[0]: r[1] for r in marked.select(F.shiftright("__m", 33).alias("p")).groupBy("p").count().collect()}
-    starts, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append(total)
-        total += sizes.get(p, 0)
-    begin = F.element_at(F.array(*map(F.lit, starts)) if starts else F.array(F.lit(0)), (F.shiftright("__m", 33) + 1).cast("int"))
-    return marked.withColumn(POSITION, (begin + F.col("__m").bitwiseAND(mask)).cast("long")).drop("__m")
+    spark = df.sparkSession
+    from_files = _scans_files(df)
+    part = {"__f": F.input_file_name() if from_files else F.lit(""), "__b": F.input_file_block_start() if from_files else F.lit(0).cast("long"), "__m": F.monotonically_increasing_id()}
+    marked = df.withColumns(part).withColumn("__p", F.shiftright("__m", 33))
+    found = marked.groupBy("__f", "__b", "__p").agg(F.min("__m"), F.count("*")).collect()
+    rows, total = [], 0
+    for f, b, p, least, n in sorted(found, key=lambda r: (unquote(r[0]), *r[1:4])):
+        rows.append((f, b, p, total - least))
+        total += n
+    starts = spark.createDataFrame(rows, "__f string, __b long, __p long, __s long")
+    placed = marked.join(F.broadcast(starts), ["__f", "__b", "__p"], "left")
+    return placed.withColumn(POSITION, F.col("__m") + F.col("__s")).drop("__f", "__b", "__p", "__m", "__s")
 
 
 @dataclass(frozen=True)

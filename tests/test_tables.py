@@ -64,6 +64,28 @@ def test_positions_have_no_gaps(spark):
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(i, i) for i in range(1000)]
 
 
+def test_positions_follow_files_and_not_their_sizes(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    sizes = [3, 500, 40, 1, 2000]  # Spark deals out large files first
+    ends = np.cumsum(sizes)
+    for k, (n, end) in enumerate(zip(sizes, ends, strict=True)):
+        table = pa.table({"v": np.arange(end - n, end), "text": [f"{(end - n + i) % 1200} of some length" for i in range(n)]})
+        pq.write_table(table, tmp_path / f"part {k}.parquet", row_group_size=300)
+    files = spark.read.parquet(str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # files are cut as well
+    try:
+        for df in (files, files.where("v % 3 = 0")):
+            rows = with_positions(df).orderBy("v").collect()
+            assert [r["__pos"] for r in rows] == list(range(df.count()))
+        assert [r[0] for r in A.repeat_positions(with_positions(files), ["text"], "__pos").collect()] == [1200, 1201, 1202, 1203, 1204]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    joined = with_positions(files.join(files.select("v"), "v").groupBy("v").count())
+    assert sorted(r["__pos"] for r in joined.collect()) == list(range(int(ends[-1])))
+
+
 def test_guard_samples_exactly(spark):
     t = Table(spark.range(1000, numPartitions=3).toDF("v"))
     g = guarded(t, Settings(row_threshold=10))
