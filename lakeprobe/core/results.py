@@ -33,8 +33,8 @@ def strict_loads(text: str):
 class Settings:
     """Limits an examination runs under.
 
-    Above `row_threshold` rows, pairwise work and pattern checks use an exact-size
-    seeded sample; above `column_threshold` columns, pairwise work is left out.
+    Above `row_threshold` rows, pairwise work uses an exact-size seeded
+    sample; above `column_threshold` columns, pairwise work is left out.
     """
 
     random_seed: int = 42

@@ -167,7 +167,7 @@ def guarded(table: Table, settings: Settings) -> Guard:
                 Finding(
                     category="guardrail", severity=Severity.INFO, confidence=1.0, title="A sample of rows was used",
                     evidence=f"The table has {count_of(n, 'row')}; the limit is {settings.row_threshold:,}.",
-                    interpretation="Comparisons of columns and pattern checks ran on an exact-size random sample, the same at every run.",
+                    interpretation="Comparisons of columns ran on an exact-size random sample, the same at every run.",
                     limitations="Rare patterns may be absent from the sample.", recommendation="Raise row_threshold to use more rows.",
                 )
             )

@@ -254,6 +254,13 @@ def test_no_personal_value_is_shown(spark, tmp_path):
     assert "mail.example" not in text and "+49" not in text and "Meier" not in text
 
 
+def test_personal_data_is_counted_over_all_rows(spark):
+    t = Table(spark.range(500).select(F.when(F.col("id") % 10 < 8, F.concat(F.lit("u"), F.col("id").cast("string"), F.lit("@mail.example"))).otherwise("none").alias("contact")))
+    told = pii(t, Settings(row_threshold=100))
+    assert [(d["evidence"], d["matched"], d["checked"]) for d in told.metrics["columns"]] == [("column", 400, 500)]
+    assert told.metrics["rows_examined"] == 500 and [f.category for f in told.findings] == ["privacy"]
+
+
 def test_bins():
     assert len(bin_edges(1000, 0, 100, 25, 75)) - 1 == 11 and bin_edges(5, 3, 3, 3, 3) == [2.5, 3.5] and len(bin_edges(10**6, 0, 1e9, 1, 2)) - 1 == 50
 
