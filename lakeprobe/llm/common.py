@@ -100,8 +100,10 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
-#: Bits of a filter, and of the planes in which a first occurrence is noted (of all buckets together), unless the session says otherwise.
-FILTER_BITS, PLANE_BITS = 27, 33
+#: Bits of a filter at most, and of the planes in which a first occurrence is noted (of all buckets together), unless the session says otherwise.
+FILTER_BITS, PLANE_BITS = 30, 33
+#: Bits of a bucket's plane at least, where the session says nothing; share of a filter's bits that may be set for it to be halved, and bits it keeps.
+BUCKET_PLANE_BITS, FULLEST, LEAST_BITS = 27, 0.15, 20
 FILTER_SETTING, PLANE_SETTING = "spark.lakeprobe.filterBits", "spark.lakeprobe.planeBits"
 BLOBS = "bucket int, hashes binary"
 _ROUND = np.uint64(0x5851F42D4C957F2D)
@@ -145,11 +147,19 @@ def bucket_count(spark: SparkSession) -> int:
     return 1 << min(12, max(4, (n - 1).bit_length()))
 
 
-def _positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two positions of each spread hash in a filter of 2**bits bits, both in the line of 2**12 bits that its top bits name; the next 24 bits say where."""
+def _positions(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Three positions of each spread hash in a filter of 2**bits bits, all in the line of 2**12 bits that its top bits name; other bits say where, the same for all sizes."""
     line = (h >> np.uint64(64 - bits + 12)) << np.uint64(12)
     low = np.uint64(4095)
-    return (line | ((h >> np.uint64(64 - bits)) & low)), (line | ((h >> np.uint64(52 - bits)) & low))
+    one, two = (h >> np.uint64(32)) & low, (h >> np.uint64(20)) & low
+    for p in (one, two, (one * np.uint64(5) + two * np.uint64(3) + np.uint64(1)) & low):
+        yield line | p
+
+
+def _halved(filter_: np.ndarray) -> np.ndarray:
+    """The filter of half the bits: neighbouring lines become one."""
+    lines = filter_.reshape(-1, 2, 512)
+    return (lines[:, 0] | lines[:, 1]).ravel()
 
 
 def _bits_at(plane: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -170,7 +180,9 @@ def in_filter(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def build_filter(blobs: DataFrame, repeated: bool, bits: int | None = None) -> np.ndarray:
-    """Filter over the hashes in blobs (bucket int, hashes binary, as hash_blobs deals them), of 2**bits bits, by default as the session sets it.
+    """Filter over the hashes in blobs (bucket int, hashes binary, as hash_blobs deals them), of 2**bits bits at most, by default as the session sets it.
+
+    It is halved as long as few of its bits are set, so its size follows the number of hashes in it.
 
     With `repeated`, only hashes that occur twice go in.  Each bucket has a task of its own, which
     keeps no hash: a first occurrence sets a bit in the bucket's plane, and one whose bit
@@ -181,7 +193,8 @@ def build_filter(blobs: DataFrame, repeated: bool, bits: int | None = None) -> n
     bits = bits or int(spark.conf.get(FILTER_SETTING, str(FILTER_BITS)))
     buckets = bucket_count(spark)
     per, top = (1 << bits - 12) // buckets, buckets.bit_length() - 1
-    plane_bits = min(40, max(16, int(spark.conf.get(PLANE_SETTING, str(PLANE_BITS))) - top))
+    set_ = spark.conf.get(PLANE_SETTING, None)
+    plane_bits = max(PLANE_BITS - top, BUCKET_PLANE_BITS) if set_ is None else min(40, max(16, int(set_) - top))
 
     def fill(batches):
         planes: dict[int, np.ndarray] = {}
@@ -206,6 +219,9 @@ def build_filter(blobs: DataFrame, repeated: bool, bits: int | None = None) -> n
     with shuffles_removed(spark):
         for b, lines in blobs.repartitionById(buckets, "bucket").mapInArrow(fill, "bucket int, lines binary").collect():
             out[b * per * 512 : (b + 1) * per * 512] = np.frombuffer(pa.decompress(bytes(lines), per * 512, "zstd"), np.uint8)
+    n_set = int(np.bitwise_count(out.view(np.uint64)).sum(dtype=np.int64))
+    while bits > LEAST_BITS and n_set <= FULLEST / 2 * (1 << bits):
+        out, bits = _halved(out), bits - 1
     return out
 
 

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ ANCHOR, SHORT_ANCHOR = 28, 16
 CHUNK_BYTES = 64 << 10
 #: Bytes of an anchor's fragments (one for each run of regions) beyond which they are dealt by their windows.
 GROUP_BYTES = 4 << 20
+#: Parts in which fragments are dealt by anchor, and joined with their decisions, one after the other, so that only one part is in shuffle files at a time.
+PASSES = 4
 _NONE = np.iinfo(np.int64).max
 
 
@@ -290,8 +293,8 @@ def _chunks(batches: Iterable[pa.RecordBatch], key: str, chunk_bytes: int) -> It
         yield held
 
 
-def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Per distinct fragment, runs of its windows [from, to) with the least document that has them, where it is smaller than some document of the fragment.
+def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES, group_bytes: int = GROUP_BYTES) -> list[DataFrame]:
+    """Written tables, one for each part of the anchors: per distinct fragment, runs of its windows [from, to) with the least document that has them, where it is smaller than some document of the fragment.
 
     Fragments come here once for each run of regions that has them, so even one that a third of all documents share is few rows.
     A fragment may have several rows.
@@ -305,9 +308,12 @@ def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _DECISIONS)
 
+    def part(rows: DataFrame, k: int) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64("anchor"), F.lit(PASSES)) == k)
+
     hot = scratch.keep(leads.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > group_bytes).select("anchor"))
     if hot.isEmpty():
-        return dealt(leads)
+        return [scratch.keep(dealt(part(leads, k))) for k in range(PASSES)]
 
     def single(batch: pa.RecordBatch) -> pa.RecordBatch:
         part = Slice(0, batch.num_rows, *text_buffers(batch.column("bytes")))
@@ -336,8 +342,12 @@ def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int
 
     cold = leads.join(hot, "anchor", "left_anti").select(leads.columns)
     windows = map_batches(leads.join(hot, "anchor", "left_semi").select("c1", "c2", "least", "most", "bytes"), single, "c1 long, c2 long, least long, most long, at long, bytes binary")
-    windows = windows.withColumn("anchor", F.xxhash64("bytes")).repartition("anchor").sortWithinPartitions("anchor")
-    return dealt(cold).unionByName(windows.mapInArrow(run_single, _DECISIONS))
+    windows = windows.withColumn("anchor", F.xxhash64("bytes"))
+
+    def single_dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run_single, _DECISIONS)
+
+    return [scratch.keep(dealt(part(cold, k)).unionByName(single_dealt(part(windows, k)))) for k in range(PASSES)]
 
 
 def _joined_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -360,14 +370,19 @@ def removed_spans(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     texts = scratch.keep(places.where("bytes is not null").groupBy("c1", "c2").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("bytes").alias("bytes")))
     found = scratch.keep(fragments(texts, window))
     scratch.drop(texts)
-    decided = scratch.keep(decisions(found, window, scratch))
+    tables = decisions(found, window, scratch)
+    decided = reduce(DataFrame.unionByName, tables)
     moved = F.transform("runs", lambda r: F.struct((F.col("at") + r["from"]).alias("from"), (F.col("at") + r["to"]).alias("to"), r["least"].alias("least")))
-    back = found.select("r1", "r2", "at", "c1", "c2").join(decided, ["c1", "c2"]).select("r1", "r2", moved.alias("runs"))
-    back = scratch.keep(back)
-    scratch.drop(found, decided)
+    held = []
+    for k in range(PASSES):
+        some = F.pmod("c1", F.lit(PASSES)) == k
+        pairs = found.select("r1", "r2", "at", "c1", "c2").where(some).join(decided.where(some), ["c1", "c2"])
+        held.append(scratch.keep(pairs.select("r1", "r2", moved.alias("runs"))))
+    scratch.drop(found, *tables)
+    back = reduce(DataFrame.unionByName, held)
     whole = back.groupBy("r1", "r2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     judged = scratch.keep(map_batches(whole, _joined_runs, _DECISIONS))
-    scratch.drop(back)
+    scratch.drop(*held)
     hit = places.select("c1", "c2", "doc_id", "key", "pos").join(judged, ["c1", "c2"])
     spans = F.transform(F.filter("runs", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct((F.col("pos") + r["from"]).alias("a"), (F.col("pos") + r["to"] - 1 + window).alias("b")))
     out = scratch.keep(hit.select("doc_id", "key", spans.alias("s")).where(F.size("s") > 0).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("s")).alias("spans")))

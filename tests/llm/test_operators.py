@@ -653,6 +653,23 @@ def test_rows_that_share_an_id_lose_only_their_own(spark):
     assert got == [(0, 0), (1, 0), (2, 0), (2, 80)]
 
 
+@pytest.mark.parametrize("n", [1_000, 400_000])
+def test_a_filter_is_as_large_as_its_content_needs(spark, n):
+    x = np.random.default_rng(3).integers(0, 2**63, 2 * n).astype(np.uint64)
+    blobs = [(b, blob) for part in np.split(np.concatenate([x[:n], x]), 3) for b, blob in hash_blobs([part], bucket_count(spark))]
+    f = build_filter(spark.createDataFrame(blobs, "bucket int, hashes binary"), repeated=True)
+    assert 8 * len(f) == (1 << 20 if n == 1_000 else 1 << 23)
+    assert in_filter(f, x[:n]).all() and in_filter(f, x[n:]).mean() < 0.01
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_parts_that_are_dealt_one_after_the_other_change_nothing(docs, rows, monkeypatch, passes):
+    monkeypatch.setattr(suffix_dedup, "PASSES", passes)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.deduplicate(docs).collect()}
+    want = {i: (int(hit.sum()), int((np.diff(np.concatenate([[0], hit.astype(np.int8)])) == 1).sum())) for i, (_, hit) in spans_of(rows, 50, lambda t: t.encode()).items()}
+    assert got == want
+
+
 def test_an_anchor_of_many_fragments_is_dealt_by_windows(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup.decisions, "__defaults__", (suffix_dedup.CHUNK_BYTES, 200))
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.deduplicate(docs).collect()}
