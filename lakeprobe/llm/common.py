@@ -26,12 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+#: Whether jobs remove their shuffle files at their end; files a task writes to side by side, without which rows are sorted for one after the other.
+CLEANUP, WRITERS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.maxConcurrentOutputFileWriters"
+
+
 @contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Jobs inside remove their shuffle files at their end: what they made is a written table or on the driver by then."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -41,6 +43,11 @@ def shuffles_removed(spark: SparkSession):
             spark.conf.set(key, before)
 
 
+def shuffles_removed(spark: SparkSession):
+    """Jobs inside remove their shuffle files at their end: what they made is a written table or on the driver by then."""
+    return setting(spark, CLEANUP, "true")
+
+
 class Scratch:
     """Written tables of one query in the shared folder.
 
@@ -60,11 +67,12 @@ class Scratch:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, by: str = "", values: int = 1) -> DataFrame:
+        """The table as written; `by` names its last column, of which each of the few values gets a folder, so that one is read without the others."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        with shuffles_removed(self.spark):
-            df.write.option("compression", "zstd").parquet(path)
+        with setting(self.spark, CLEANUP, "true"), setting(self.spark, WRITERS, str(values)):
+            df.write.option("compression", "zstd").partitionBy(*[by] * bool(by)).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

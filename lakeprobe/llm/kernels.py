@@ -274,15 +274,18 @@ def leftmost_minima(hashes: np.ndarray, span: int) -> np.ndarray:
     n = len(hashes)
     if n < span:
         return np.zeros(0, np.int64)
-    if n > int(_POSITION):  # in parts that overlap by a run
-        step = int(_POSITION) // 2
-        if span > step:
-            raise ValueError("the run is too long")
-        return np.concatenate([leftmost_minima(hashes[a : a + step + span - 1], span) + a for a in range(0, n - span + 1, step)])
-    key = (hashes & ~_POSITION) | np.arange(n, dtype=np.uint64)
-    width, low = 1, key
-    while width * 2 <= span:
-        low = np.minimum(low[: len(low) - width], low[width:])
-        width *= 2
-    low = np.minimum(low[: n - span + 1], low[span - width : span - width + n - span + 1])
-    return (low & _POSITION).astype(np.int64)
+    if span > int(_POSITION) // 2:
+        raise ValueError("the run is too long")
+    out = np.empty(n - span + 1, np.int64)
+    size = max(BLOCK, span)
+    place = np.arange(min(n, size + span - 1), dtype=np.uint64)
+    for a in range(0, len(out), size):  # in parts that overlap by a run
+        some = hashes[a : a + size + span - 1]
+        low = (some & ~_POSITION) | place[: len(some)]
+        width, count = 1, len(some) - span + 1
+        while width * 2 <= span:
+            low = np.minimum(low[: len(low) - width], low[width:])
+            width *= 2
+        low = np.minimum(low[:count], low[span - width : span - width + count])
+        np.add((low & _POSITION).view(np.int64), a, out=out[a : a + count])
+    return out

@@ -8,7 +8,8 @@ doc_id is removed.  The work is dealt so that equal windows meet in one task:
     successive windows whose anchors do are a region.  Equal regions, such as those of
     exact copies, become one with the least and greatest document they occur in.
 2.  In distinct regions, successive windows that chose the same (shorter) anchor are a
-    fragment.  Equal fragments are one text for each run of regions, and are dealt by anchor.
+    fragment.  Equal fragments are one text for each run of regions, and are dealt by anchor; a text
+    takes its places along if they are few, more are joined with its decisions later.
     Fragments of an anchor that is in very many different ones are dealt by their single windows.
 3.  Each task sorts the suffixes of the distinct fragments of an anchor as deep as the window needs,
     and takes the transform.  Starting at the empty string, intervals of suffixes are
@@ -20,7 +21,7 @@ doc_id is removed.  The work is dealt so that equal windows meet in one task:
     the least document of that fragment has all its windows.
 4.  The decisions go back to fragments, regions, their occurrences, and the documents.
 
-Fragments are the same if their bytes are; regions and occurrences are joined by 128-bit hashes.
+Fragments are the same if their bytes are; regions, and places that a text does not take along, are joined by 128-bit hashes.
 
 Defined cases: a null text is empty; texts shorter than the window keep everything;
 rows without doc_id keep everything; rows that repeat a doc_id are one document's, so none of
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, documents, in_filter, map_batches, split_by_filter, with_key
-from .kernels import Slice, byte_gram_hashes, fitting, gathered, leftmost_minima, range_hashes, slices, text_buffers
+from .kernels import Slice, byte_gram_hashes, gathered, leftmost_minima, mix, range_hashes, slices, text_buffers
 
 #: Bytes of an anchor in a window of 50 (in other windows, in proportion): to find regions, and to deal fragments.
 ANCHOR, SHORT_ANCHOR = 28, 16
@@ -49,8 +50,14 @@ ANCHOR, SHORT_ANCHOR = 28, 16
 CHUNK_BYTES = 64 << 10
 #: Bytes of an anchor's fragments (one for each run of regions) beyond which they are dealt by their windows.
 GROUP_BYTES = 4 << 20
-#: Parts in which fragments are dealt by anchor, and joined with their decisions, one after the other, so that only one part is in shuffle files at a time.
+#: Parts in which fragments are written, dealt by anchor, and joined with their decisions, one after the other, so that only one part is in shuffle files at a time.
 PASSES = 4
+#: Places of a fragment in a run of regions at most for them to go where its text goes: they are then no longer than a few texts.
+PLACES = 8
+#: Cells of anchors whose bytes are added up to find those that may be in very many fragments.
+CELLS = 1 << 16
+#: Runs of windows that are put in order at once.
+RUN_ROWS = 1 << 16
 _NONE = np.iinfo(np.int64).max
 
 
@@ -59,7 +66,8 @@ def _anchors(part, window: int, anchor: int = ANCHOR) -> tuple[np.ndarray, np.nd
     size = max(1, anchor * window // 50)
     g = byte_gram_hashes(part.data, size)
     low = leftmost_minima(g, window - size + 1)
-    starts = np.flatnonzero(fitting(part.offsets, window, len(low)))
+    n = np.maximum(np.diff(part.offsets) - window + 1, 0)
+    starts = np.arange(n.sum()) + np.repeat(part.offsets[:-1] - (np.cumsum(n) - n), n)
     return starts, low[starts], g
 
 
@@ -77,25 +85,31 @@ def _anchor_blobs(docs: DataFrame, window: int) -> DataFrame:
     return map_batches(documents(docs), run, BLOBS)
 
 
-def _held_by_leads(part, a: np.ndarray, b: np.ndarray, least: np.ndarray, most: np.ndarray):
-    """Hashes of the byte ranges, and for the first of equal ones their bytes with the least and most over all of them; null for others."""
-    c1, c2 = (range_hashes(part.data, a, b, seed) for seed in (1, 2))
+def _leads(data: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray, most: np.ndarray):
+    """Two hashes of each byte range, the number of its text, and for each text a range that has it and the least and most over all of them."""
+    c1, c2 = (range_hashes(data, a, b, seed) for seed in (1, 2))
     _, back = np.unique(c1, return_inverse=True)
     n = int(back.max()) + 1 if len(back) else 0
     low, high, once = np.full(n, _NONE), np.full(n, np.iinfo(np.int64).min), np.zeros(n, np.int64)
     np.minimum.at(low, back, least)
     np.maximum.at(high, back, most)
     once[back] = np.arange(len(back))
-    if (c2 != c2[once][back]).any():  # different ranges with one hash: each is a lead of its own
+    if (c2 != c2[once][back]).any():  # different ranges with one hash: each is a text of its own
         back = once = np.arange(len(a))
         low, high = least, most
+    return c1.view(np.int64), c2.view(np.int64), back, once, low, high
+
+
+def _held_by_leads(part, a: np.ndarray, b: np.ndarray, least: np.ndarray, most: np.ndarray):
+    """Hashes of the byte ranges, and for the first of equal ones their bytes with the least and most over all of them; null for others."""
+    c1, c2, back, once, low, high = _leads(part.data, a, b, least, most)
     lead = np.zeros(len(a), bool)
     lead[once] = True
     raw, bounds = gathered(part.data, a, np.where(lead, b, a))
     held = pa.py_buffer(np.packbits(lead, bitorder="little").tobytes())
     text = pa.Array.from_buffers(pa.binary(), len(a), [held, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
     only = lambda x: pa.array(x, pa.int64(), mask=~lead)
-    return pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), only(low[back]), only(high[back]), text, only
+    return pa.array(c1), pa.array(c2), only(low[back]), only(high[back]), text
 
 
 _REGIONS = "c1 long, c2 long, doc_id long, key long, pos long, least long, most long, bytes binary"
@@ -124,20 +138,36 @@ def regions(docs: DataFrame, window: int) -> DataFrame:
             a, b = at[begin], at[np.concatenate([begin[1:], [len(at)]]) - 1] + window
             place = np.searchsorted(part.offsets, a, side="right") - 1
             doc = ids[part.first + place]
-            c1, c2, least, most, text, _ = _held_by_leads(part, a, b, doc, doc)
+            c1, c2, least, most, text = _held_by_leads(part, a, b, doc, doc)
             yield pa.RecordBatch.from_arrays([c1, c2, pa.array(doc), pa.array(keys[part.first + place]), pa.array(a - part.offsets[place]), least, most, text], names=["c1", "c2", "doc_id", "key", "pos", "least", "most", "bytes"])
 
     return map_batches(with_key(docs.where(F.col("doc_id").isNotNull())), run, _REGIONS)
 
 
-_FRAGMENTS = "r1 long, r2 long, at int, c1 long, c2 long, anchor long, least long, most long, bytes binary"
+_FRAGMENTS = "c1 long, c2 long, anchor long, least long, most long, bytes binary, places binary, part int"
+#: A fragment's place: its region's hash and where it begins there.
+_PLACE = np.dtype([("r1", "<i8"), ("r2", "<i8"), ("at", "<i4")])
+
+
+def _binary(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
 
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all rows, one row after the other, and their number in each."""
+    raw, bounds = text_buffers(column)
+    return np.frombuffer(raw[bounds[0] : bounds[-1]].tobytes(), _PLACE), np.diff(bounds) // _PLACE.itemsize
 
-def fragments(distinct: DataFrame, window: int) -> DataFrame:
-    """Fragments of distinct regions: region (r1, r2), place there, hash; bytes and anchor at the first of equal ones in a run of regions."""
+
+def fragments(distinct: DataFrame, window: int, most_places: int = PLACES) -> DataFrame:
+    """Fragments of distinct regions, one row for equal ones in a run of regions: bytes, anchor, least and greatest document, and places.
+
+    Where there are more places than most_places, they have a row of their own, without bytes; both have a hash then.
+    """
+    passes = PASSES
 
     def run(batch: pa.RecordBatch):
-        least, most = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        r1, r2, least, most = (batch.column(k).to_numpy() for k in range(4))
         for part in slices(batch.column(4)):
             starts, low, g = _anchors(part, window, SHORT_ANCHOR)
             first = np.flatnonzero(np.diff(low, prepend=-1))
@@ -145,11 +175,28 @@ def fragments(distinct: DataFrame, window: int) -> DataFrame:
                 continue
             n = np.diff(np.concatenate([first, [len(low)]]))
             a = starts[first]
+            b = a + n + window - 1
             region = np.searchsorted(part.offsets, a, side="right") - 1
             row = part.first + region
-            c1, c2, lowest, highest, text, only = _held_by_leads(part, a, a + n + window - 1, least[row], most[row])
-            own = batch.select([0, 1]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array((a - part.offsets[region]).astype(np.int32)), c1, c2, only(g[low[first]].view(np.int64)), lowest, highest, text], names=["r1", "r2", "at", "c1", "c2", "anchor", "least", "most", "bytes"])
+            c1, c2, back, once, lowest, highest = _leads(part.data, a, b, least[row], most[row])
+            anchor = g[low[first]]
+            dealt = (mix(anchor ^ np.uint64(window)) % np.uint64(passes)).astype(np.int32)
+            places = np.empty(len(a), _PLACE)
+            places["r1"], places["r2"], places["at"] = r1[row], r2[row], a - part.offsets[region]
+            count = np.bincount(back, minlength=len(once))
+            many = count > most_places
+            order = np.argsort(back, kind="stable")
+            apart = many[back[order]]
+            bounds = lambda k: np.concatenate([[0], np.cumsum(k)]) * _PLACE.itemsize
+            names = ["c1", "c2", "anchor", "least", "most", "bytes", "places", "part"]
+            hashes = [pa.array(x[once], mask=~many) for x in (c1, c2)]
+            text = _binary(*gathered(part.data, a[once], b[once]))
+            columns = [*hashes, *map(pa.array, (anchor[once].view(np.int64), lowest, highest)), text, _binary(places[order[~apart]], bounds(np.where(many, 0, count)))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(dealt[once])], names=names)
+            if apart.any():
+                of = once[many]
+                none = [pa.nulls(len(of), kind) for kind in (*[pa.int64()] * 3, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c1[of]), pa.array(c2[of]), *none, _binary(places[order[apart]], bounds(count[many])), pa.array(dealt[of])], names=names)
 
     return map_batches(distinct.select("c1", "c2", "least", "most", "bytes"), run, _FRAGMENTS)
 
@@ -229,20 +276,35 @@ def window_classes(texts: list[bytes], docs: np.ndarray, window: int) -> tuple[n
     return text[valid], out[valid]
 
 
-_DECISIONS = "c1 long, c2 long, runs array<struct<from:long,to:long,least:long>>"
-_RUNS = pa.struct([("from", pa.int64()), ("to", pa.int64()), ("least", pa.int64())])
+_DECIDED = "r1 long, r2 long, a int, b int, least long, placed boolean"
+
+
+def _batch(r1: np.ndarray, r2: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray, placed: bool) -> pa.RecordBatch:
+    columns = [pa.array(r1, pa.int64()), pa.array(r2, pa.int64()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(least, pa.int64()), pa.array(np.full(len(r1), placed))]
+    return pa.RecordBatch.from_arrays(columns, names=["r1", "r2", "a", "b", "least", "placed"])
 
 
-def _listed(c1: np.ndarray, c2: np.ndarray, of: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    """Decisions of the fragments of (increasing) numbers `of`."""
-    some, counts = np.unique(of, return_counts=True)
-    items = pa.StructArray.from_arrays([pa.array(x) for x in runs], fields=list(_RUNS))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), items)
-    return pa.RecordBatch.from_arrays([pa.array(c1[some]), pa.array(c2[some]), lists], names=["c1", "c2", "runs"])
+def _runs(texts: pa.Array, anchor: np.ndarray, least: np.ndarray, most: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Number of the text, first window, window after the last, and least document of runs of windows, where that is smaller than the greatest of the text."""
+    _, group, sizes = np.unique(anchor, return_inverse=True, return_counts=True)
+    alone = sizes[group] == 1
+    some = np.flatnonzero(alone & (least < most))
+    lengths = pc.binary_length(texts).to_numpy()[some].astype(np.int64)
+    out = [(some, np.zeros(len(some), np.int64), lengths - window + 1, least[some])]
+    many = np.flatnonzero(~alone)
+    if len(many):
+        text, low = window_classes(texts.take(pa.array(many)).to_pylist(), least[many], window)
+        cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (low[1:] != low[:-1])]))
+        start = np.searchsorted(text, text[cut])
+        end = np.concatenate([cut[1:], [len(text)]])
+        of = many[text[cut]]
+        keep = low[cut] < most[of]
+        out.append((of[keep], (cut - start)[keep], (end - start)[keep], low[cut][keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _decide(rows: list[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Decisions of some anchors' fragments, which are here altogether."""
+    """Decisions of some anchors' fragments, which are here altogether: at their places, or for those that are not along by hash."""
     table = pa.Table.from_batches(rows).combine_chunks()
     texts = table["bytes"].combine_chunks().dictionary_encode()
     back, n = texts.indices.to_numpy(), len(texts.dictionary)
@@ -250,24 +312,28 @@ def _decide(rows: list[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]
     once[back] = np.arange(len(back))
     np.minimum.at(least, back, table["least"].to_numpy())
     np.maximum.at(most, back, table["most"].to_numpy())
-    c1, c2, anchor = (table[k].to_numpy()[once] for k in ("c1", "c2", "anchor"))
-    _, group, sizes = np.unique(anchor, return_inverse=True, return_counts=True)
-    alone = sizes[group] == 1
-    some = np.flatnonzero(alone & (least < most))
-    if len(some):
-        lengths = pc.binary_length(texts.dictionary).to_numpy()[some].astype(np.int64)
-        yield _listed(c1, c2, some, (np.zeros(len(some), np.int64), lengths - window + 1, least[some]))
-    many = np.flatnonzero(~alone)
-    if not len(many):
-        return
-    text, low = window_classes(texts.dictionary.take(pa.array(many)).to_pylist(), least[many], window)
-    cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (low[1:] != low[:-1])]))
-    start = np.searchsorted(text, text[cut])
-    end = np.concatenate([cut[1:], [len(text)]])
-    of = many[text[cut]]
-    keep = low[cut] < most[of]
-    if keep.any():
-        yield _listed(c1, c2, of[keep], ((cut - start)[keep], (end - start)[keep], low[cut][keep]))
+    of, a, b, low = _runs(texts.dictionary, table["anchor"].to_numpy()[once], least, most, window)
+    order = np.argsort(of, kind="stable")
+    a, b, low, count = a[order], b[order], low[order], np.bincount(of, minlength=n)
+    begin = np.cumsum(count) - count
+
+    def at_each(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For some texts, one after the other, the index of the text among them and of the run, for all runs."""
+        k = count[text]
+        which = np.repeat(np.arange(len(text)), k)
+        return which, np.arange(len(which)) + np.repeat(begin[text] - (np.cumsum(k) - k), k)
+
+    places, counts = _places(table["places"])
+    which, run = at_each(np.repeat(back, counts))
+    if len(which):
+        at = places["at"][which]
+        yield _batch(places["r1"][which], places["r2"][which], at + a[run], at + b[run], low[run], True)
+    named = np.flatnonzero(table["c1"].is_valid().to_numpy())
+    if len(named):
+        text, first = np.unique(back[named], return_index=True)
+        which, run = at_each(text)
+        c1, c2 = (table[k].combine_chunks().fill_null(0).to_numpy()[named[first]][which] for k in ("c1", "c2"))
+        yield _batch(c1, c2, a[run], b[run], low[run], False)
 
 
 def _chunks(batches: Iterable[pa.RecordBatch], key: str, chunk_bytes: int) -> Iterator[list[pa.RecordBatch]]:
@@ -294,26 +360,24 @@ def _chunks(batches: Iterable[pa.RecordBatch], key: str, chunk_bytes: int) -> It
 
 
 def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES, group_bytes: int = GROUP_BYTES) -> list[DataFrame]:
-    """Written tables, one for each part of the anchors: per distinct fragment, runs of its windows [from, to) with the least document that has them, where it is smaller than some document of the fragment.
+    """Written tables, some for each part of the anchors: per region (r1, r2) and fragment there, runs of windows [a, b) with the least document that has them, where it is smaller than some document of the fragment.
 
     Fragments come here once for each run of regions that has them, so even one that a third of all documents share is few rows.
-    A fragment may have several rows.
     """
-    leads = found.where("bytes is not null").select("c1", "c2", "anchor", "least", "most", "bytes")
+    leads = found.where("bytes is not null")
 
     def run(batches):
         for held in _chunks(batches, "anchor", chunk_bytes):
             yield from _decide(held, window)
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _DECISIONS)
-
-    def part(rows: DataFrame, k: int) -> DataFrame:
-        return rows.where(F.pmod(F.xxhash64("anchor"), F.lit(PASSES)) == k)
+        return rows.select("c1", "c2", "anchor", "least", "most", "bytes", "places").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, _DECIDED)
 
-    hot = scratch.keep(leads.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > group_bytes).select("anchor"))
-    if hot.isEmpty():
-        return [scratch.keep(dealt(part(leads, k))) for k in range(PASSES)]
+    cell, size = F.col("anchor").bitwiseAND(CELLS - 1), F.sum(F.octet_length("bytes")).alias("size")
+    full = [c for c, _ in leads.groupBy(cell.alias("cell")).agg(size).where(F.col("size") > group_bytes).collect()]
+    hot = scratch.keep(leads.where(cell.isin(full)).groupBy("anchor").agg(size).where(F.col("size") > group_bytes).select("anchor")) if full else None
+    if hot is not None and hot.isEmpty():
+        hot = None
 
     def single(batch: pa.RecordBatch) -> pa.RecordBatch:
         part = Slice(0, batch.num_rows, *text_buffers(batch.column("bytes")))
@@ -324,8 +388,19 @@ def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int
         begin = part.offsets[row] + at
         raw = np.lib.stride_tricks.sliding_window_view(part.data[base : part.offsets[-1]], window)[begin - base]
         text = pa.FixedSizeBinaryArray.from_buffers(pa.binary(window), len(row), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
-        own = batch.select(["c1", "c2", "least", "most"]).take(pa.array(row))
-        return pa.RecordBatch.from_arrays([*own.columns, pa.array(at), text], names=["c1", "c2", "least", "most", "at", "bytes"])
+        c1, c2 = (range_hashes(part.data, part.offsets[:-1], part.offsets[1:], seed).view(np.int64) for seed in (1, 2))
+        own = batch.select(["least", "most"]).take(pa.array(row))
+        return pa.RecordBatch.from_arrays([pa.array(c1[row]), pa.array(c2[row]), *own.columns, pa.array(at), text], names=["c1", "c2", "least", "most", "at", "bytes"])
+
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, bounds = text_buffers(batch.column("bytes"))
+        hashes = [pa.array(range_hashes(data, bounds[:-1], bounds[1:], seed).view(np.int64)) for seed in (1, 2)]
+        return pa.RecordBatch.from_arrays([*hashes, batch.column("places")], names=["c1", "c2", "places"])
+
+    def at_places(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places, counts = _places(batch.column("places"))
+        a, b, least = (np.repeat(batch.column(k).to_numpy(), counts) for k in ("a", "b", "least"))
+        return _batch(places["r1"], places["r2"], places["at"] + a, places["at"] + b, least, True)
 
     def run_single(batches):
         for held in _chunks(batches, "anchor", chunk_bytes):
@@ -337,52 +412,74 @@ def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int
             low = window_classes(texts.dictionary.to_pylist(), least, window)[1][back]
             some = np.flatnonzero(low < table["most"].to_numpy())
             if len(some):
-                c1, c2, at = (table[k].to_numpy() for k in ("c1", "c2", "at"))
-                yield _listed(c1, c2, some, (at[some], at[some] + 1, low[some]))
+                c1, c2, at = (table[k].to_numpy()[some] for k in ("c1", "c2", "at"))
+                yield _batch(c1, c2, at, at + 1, low[some], False)
 
-    cold = leads.join(hot, "anchor", "left_anti").select(leads.columns)
-    windows = map_batches(leads.join(hot, "anchor", "left_semi").select("c1", "c2", "least", "most", "bytes"), single, "c1 long, c2 long, least long, most long, at long, bytes binary")
-    windows = windows.withColumn("anchor", F.xxhash64("bytes"))
+    out = []
+    for k in range(PASSES):
+        some = leads.where(F.col("part") == k)
+        rest = found.where((F.col("part") == k) & F.col("bytes").isNull()).select("c1", "c2", "places")
+        if hot is None:
+            decided = scratch.keep(dealt(some))
+        else:
+            many = some.join(hot, "anchor", "left_semi").select("least", "most", "bytes", "places")
+            windows = map_batches(many, single, "c1 long, c2 long, least long, most long, at long, bytes binary").withColumn("anchor", F.xxhash64("bytes"))
+            windows = windows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run_single, _DECIDED)
+            decided = scratch.keep(dealt(some.join(hot, "anchor", "left_anti")).unionByName(windows))
+            rest = rest.unionByName(map_batches(many.where("length(places) > 0"), named, "c1 long, c2 long, places binary"))
+        by_hash = decided.where("not placed").select(F.col("r1").alias("c1"), F.col("r2").alias("c2"), "a", "b", "least").distinct()
+        joined = rest.join(by_hash, ["c1", "c2"]).select("places", "a", "b", "least")
+        out += [decided, scratch.keep(map_batches(joined, at_places, _DECIDED))]
+    return out
 
-    def single_dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run_single, _DECISIONS)
 
-    return [scratch.keep(dealt(part(cold, k)).unionByName(single_dealt(part(windows, k)))) for k in range(PASSES)]
+_JUDGED = "c1 long, c2 long, runs array<struct<from:long,to:long,least:long>>"
 
 
-def _joined_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A region's runs in order, neighbours with one least document put together."""
-    out = []
-    for runs in batch.column(2).to_pylist():
-        held: list[dict] = []
-        for r in sorted(runs, key=lambda r: r["from"]):
-            if held and held[-1]["least"] == r["least"] and held[-1]["to"] == r["from"]:
-                held[-1]["to"] = r["to"]
-            else:
-                held.append(dict(r))
-        out.append(held)
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(_RUNS))], names=["c1", "c2", "runs"])
+def _joined_runs(table: pa.Table) -> pa.RecordBatch:
+    """The runs of regions that are here altogether, in order, neighbours with one least document put together."""
+    r1, r2, a, b, least = (table[k].to_numpy() for k in ("r1", "r2", "a", "b", "least"))
+    order = np.lexsort((a, r2, r1))
+    r1, r2, a, b, least = (x[order] for x in (r1, r2, a, b, least))
+    other = np.concatenate([[True], (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])])
+    begin = np.flatnonzero(other | np.concatenate([[True], (least[1:] != least[:-1]) | (a[1:] != b[:-1])]))
+    last = np.concatenate([begin[1:], [len(a)]]) - 1
+    runs = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (a[begin], b[last], least[begin])], names=["from", "to", "least"])
+    first = np.flatnonzero(other)
+    bounds = np.concatenate([np.searchsorted(begin, first), [len(begin)]])
+    return pa.RecordBatch.from_arrays([pa.array(r1[first]), pa.array(r2[first]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)], names=["c1", "c2", "runs"])
+
+
+def _by_region(batches: Iterable[pa.RecordBatch], most: int = RUN_ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows that come sorted by region, put together in chunks that end with a region."""
+    held, n, limit = [], 0, most
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < limit:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        r1, r2 = table["r1"].to_numpy(), table["r2"].to_numpy()
+        end = int(np.argmax((r1 == r1[-1]) & (r2 == r2[-1])))
+        if end:
+            yield _joined_runs(table.slice(0, end))
+        held, n = table.slice(end).to_batches(), n - end
+        limit = most + 2 * n
+    if n:
+        yield _joined_runs(pa.Table.from_batches(held).combine_chunks())
 
 
 def removed_spans(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """Written table: doc_id, key (the hash of a row's text), spans (start, end in bytes; they may overlap)."""
     places = scratch.keep(regions(docs, window))
     texts = scratch.keep(places.where("bytes is not null").groupBy("c1", "c2").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("bytes").alias("bytes")))
-    found = scratch.keep(fragments(texts, window))
+    found = scratch.keep(fragments(texts, window), "part", PASSES)
     scratch.drop(texts)
     tables = decisions(found, window, scratch)
-    decided = reduce(DataFrame.unionByName, tables)
-    moved = F.transform("runs", lambda r: F.struct((F.col("at") + r["from"]).alias("from"), (F.col("at") + r["to"]).alias("to"), r["least"].alias("least")))
-    held = []
-    for k in range(PASSES):
-        some = F.pmod("c1", F.lit(PASSES)) == k
-        pairs = found.select("r1", "r2", "at", "c1", "c2").where(some).join(decided.where(some), ["c1", "c2"])
-        held.append(scratch.keep(pairs.select("r1", "r2", moved.alias("runs"))))
-    scratch.drop(found, *tables)
-    back = reduce(DataFrame.unionByName, held)
-    whole = back.groupBy("r1", "r2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    judged = scratch.keep(map_batches(whole, _joined_runs, _DECISIONS))
-    scratch.drop(*held)
+    scratch.drop(found)
+    runs = reduce(DataFrame.unionByName, tables).where("placed").select("r1", "r2", "a", "b", "least")
+    judged = scratch.keep(runs.repartition("r1", "r2").sortWithinPartitions("r1", "r2").mapInArrow(_by_region, _JUDGED))
+    scratch.drop(*tables)
     hit = places.select("c1", "c2", "doc_id", "key", "pos").join(judged, ["c1", "c2"])
     spans = F.transform(F.filter("runs", lambda r: r["least"] < F.col("doc_id")), lambda r: F.struct((F.col("pos") + r["from"]).alias("a"), (F.col("pos") + r["to"] - 1 + window).alias("b")))
     out = scratch.keep(hit.select("doc_id", "key", spans.alias("s")).where(F.size("s") > 0).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("s")).alias("spans")))
@@ -393,31 +490,46 @@ def removed_spans(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept {}"
 
 
-def merged(spans) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges [a, b) of some rows as the maximal runs they cover, in order."""
+    order = np.lexsort((a, row))
+    base = row[order] << 32
+    a, b = base + a[order], np.maximum.accumulate(base + b[order])
+    begin = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]) if len(a) else a)
+    last = np.concatenate([begin[1:], [len(a)]])[: len(begin)] - 1
+    return base[begin] >> 32, a[begin] - base[begin], b[last] - base[begin]
 
 
 def _kept(batch: pa.RecordBatch, digest: bool) -> pa.RecordBatch:
-    spans = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-    rows = []
+    total = np.zeros(batch.num_rows, np.int64)
+    gone, count, kept = total.copy(), total.copy(), []
+    row = a = b = np.zeros(0, np.int64)
+    if batch.num_columns > 2:
+        spans = batch.column(2)
+        items = spans.flatten()
+        row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
+        row, a, b = merged(row, items.field("a").to_numpy().astype(np.int64), items.field("b").to_numpy().astype(np.int64))
     for part in slices(batch.column(1)):
-        for d in range(part.last - part.first):
-            raw = part.bytes_of(d)
-            gone = merged((s["a"], min(s["b"], len(raw))) for s in spans[part.first + d] or () if s["a"] < len(raw))
-            left, at = [], 0
-            for a, b in gone:
-                left.append(raw[at:a])
-                at = b
-            kept = b"".join([*left, raw[at:]])
-            rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest() if digest else kept))
-    n, removed, runs, kept = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        lengths = np.diff(part.offsets)
+        data, bounds = part.data, part.offsets
+        own = slice(*np.searchsorted(row, [part.first, part.last]))
+        if own.start < own.stop:
+            doc = row[own] - part.first
+            begin, end = np.minimum(a[own], lengths[doc]), np.minimum(b[own], lengths[doc])
+            some = begin < end
+            doc, begin, end = doc[some], begin[some] + bounds[doc[some]], end[some] + bounds[doc[some]]
+            step = np.zeros(len(data) + 1, np.int8)
+            step[begin] += 1
+            np.add.at(step, end, -1)
+            data = data[np.cumsum(step[:-1], dtype=np.int8) == 0]
+            np.add.at(gone[part.first : part.last], doc, end - begin)
+            count[part.first : part.last] = np.bincount(doc, minlength=len(lengths))
+            bounds = np.concatenate([[0], np.cumsum(lengths - gone[part.first : part.last])])
+        total[part.first : part.last] = lengths
+        raw = memoryview(np.ascontiguousarray(data))
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            kept.append(hashlib.sha256(raw[x:y]).hexdigest() if digest else bytes(raw[x:y]))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(gone), pa.array(count), pa.array(kept, pa.string() if digest else pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def deduplicate(docs: DataFrame, window: int = 50, digest: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeprobe.llm import fixity, jaccard_join, language_id, packing, positional_index, quality_rules, secret_scan, site_classifier, substring_levels, suffix_dedup
 from lakeprobe.llm.common import Scratch, bucket_count, build_filter, hash_blobs, in_filter
-from lakeprobe.llm.kernels import byte_gram_hashes, fitting, gram_hashes, leftmost_minima, slices, word_hashes, words
+from lakeprobe.llm.kernels import BLOCK, byte_gram_hashes, fitting, gram_hashes, leftmost_minima, slices, word_hashes, words
 from lakeprobe.llm.queries import queries, tokenizer_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -677,6 +677,69 @@ def test_an_anchor_of_many_fragments_is_dealt_by_windows(docs, rows, monkeypatch
     assert got == want
 
 
+def test_equal_fragments_are_one_row_with_their_places(spark):
+    """20 regions share a passage: its fragments are written once for the run of regions, not once for each place."""
+    rng = random.Random(30)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).encode()
+    passage = line(400)
+    texts = [line(60 + k) + passage + line(70) for k in range(20)]
+    regions = spark.createDataFrame([(k, -k, k, k, bytearray(t)) for k, t in enumerate(texts)], "c1 long, c2 long, least long, most long, bytes binary").coalesce(1)
+    for most_places in (0, 3, 100):
+        found = suffix_dedup.fragments(regions, 50, most_places).collect()
+        got = []
+        of = {(r["c1"], r["c2"]): bytes(r["bytes"]) for r in found if r["bytes"] is not None and r["c1"] is not None}
+        for r in found:
+            text = of[r["c1"], r["c2"]] if r["bytes"] is None else bytes(r["bytes"])
+            for r1, r2, at in np.frombuffer(bytes(r["places"]), suffix_dedup._PLACE).tolist():
+                assert r2 == -r1 and texts[r1][at : at + len(text)] == text
+                got.append((r1, at, at + len(text) - 49))
+        leads = [r for r in found if r["bytes"] is not None]
+        assert len({bytes(r["bytes"]) for r in leads}) == len(leads) < len(got) / 2
+        assert len(found) - len(leads) == sum(r["c1"] is not None for r in leads) == (len(leads) if most_places == 0 else 0 if most_places == 100 else len(found) - len(leads))
+        want = [(k, w) for k, t in enumerate(texts) for w in range(len(t) - 49)]
+        assert sorted((k, w) for k, a, b in got for w in range(a, b)) == want
+
+
+@pytest.mark.parametrize("most_places, group_bytes", [(0, suffix_dedup.GROUP_BYTES), (1, suffix_dedup.GROUP_BYTES), (1, 200), (100, 200)])
+def test_places_that_go_along_or_apart_give_one_result(docs, rows, monkeypatch, most_places, group_bytes):
+    monkeypatch.setattr(suffix_dedup.fragments, "__defaults__", (most_places,))
+    monkeypatch.setattr(suffix_dedup.decisions, "__defaults__", (suffix_dedup.CHUNK_BYTES, group_bytes))
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.deduplicate(docs).collect()}
+    want = {i: (int(hit.sum()), int((np.diff(np.concatenate([[0], hit.astype(np.int8)])) == 1).sum())) for i, (_, hit) in spans_of(rows, 50, lambda t: t.encode()).items()}
+    assert got == want
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_runs_of_regions_are_put_together(most):
+    rng = random.Random(31)
+    least = {r: [rng.choice([-1, 3, 4]) for _ in range(60)] for r in [(k // 3, k % 3 - 1) for k in range(9)]}
+    listed, want = [], []
+    for r, doc in sorted(least.items()):
+        runs: list = []
+        for at, d in enumerate(doc):
+            if d < 0:
+                continue
+            listed.append((*r, at, at + 1, d))
+            if runs and runs[-1]["to"] == at and runs[-1]["least"] == d:
+                runs[-1]["to"] = at + 1
+            else:
+                runs.append({"from": at, "to": at + 1, "least": d})
+        want.append((*r, runs))
+    rng.shuffle(listed)
+    listed.sort(key=lambda x: x[:2])
+    batches = [suffix_dedup._batch(*map(np.array, zip(*listed[k : k + 10], strict=True)), True) for k in range(0, len(listed), 10)]
+    got = [x for out in suffix_dedup._by_region(batches, most) for x in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert got == want
+
+
+def test_least_of_a_run_over_blocks():
+    rng = np.random.default_rng(32)
+    for n, span in ((BLOCK + 40, 23), (2 * BLOCK + 22, 23), (2 * BLOCK, 1), (BLOCK + 5, BLOCK + 2)):
+        h = rng.integers(0, 50, n).astype(np.uint64) << np.uint64(24)
+        want = np.arange(n - span + 1) + np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1) if span < 100 else np.array([k + int(h[k : k + span].argmin()) for k in range(n - span + 1)])
+        assert (leftmost_minima(h, span) == want).all()
+
+
 def test_odd_rows_in_every_operator(spark):
     """Null texts and ids, an empty and a very long text, repeated rows, and columns with names that operators use."""
     rng = random.Random(21)
