@@ -10,7 +10,8 @@ doc_id is removed.  The work is dealt so that equal windows meet in one task:
 2.  In distinct regions, successive windows that chose the same (shorter) anchor are a
     fragment.  Equal fragments are one text for each run of regions, and are dealt by anchor; a text
     takes its places along if they are few, more are joined with its decisions later.
-    Fragments of an anchor that is in very many different ones are dealt by their single windows.
+    Fragments of an anchor that is in very many different ones are dealt by their single windows, which are to
+    fragments what fragments are to regions.
 3.  Each task sorts the suffixes of the distinct fragments of an anchor as deep as the window needs,
     and takes the transform.  Starting at the empty string, intervals of suffixes are
     extended backwards by one byte, breadth first: the right end of an interval of
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOBS, Scratch, blob_batch, bucket_count, build_filter, documents, in_filter, map_batches, split_by_filter, with_key
-from .kernels import Slice, byte_gram_hashes, gathered, leftmost_minima, mix, range_hashes, slices, text_buffers
+from .kernels import byte_gram_hashes, gathered, leftmost_minima, mix, range_hashes, slices, text_buffers
 
 #: Bytes of an anchor in a window of 50 (in other windows, in proportion): to find regions, and to deal fragments.
 ANCHOR, SHORT_ANCHOR = 28, 16
@@ -159,6 +160,23 @@ def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw[bounds[0] : bounds[-1]].tobytes(), _PLACE), np.diff(bounds) // _PLACE.itemsize
 
 
+def _with_places(c1, c2, back, once, anchor, least, most, text: pa.Array, places: np.ndarray, dealt: np.ndarray, most_places: int) -> Iterator[pa.RecordBatch]:
+    """Rows of texts with their places; back is the text of each place and once a place of each text."""
+    count = np.bincount(back, minlength=len(once))
+    many = count > most_places
+    order = np.argsort(back, kind="stable")
+    apart = many[back[order]]
+    bounds = lambda k: np.concatenate([[0], np.cumsum(k)]) * _PLACE.itemsize
+    names = ["c1", "c2", "anchor", "least", "most", "bytes", "places", "part"]
+    hashes = [pa.array(x[once], mask=~many) for x in (c1, c2)]
+    along = _binary(places[order[~apart]], bounds(np.where(many, 0, count)))
+    yield pa.RecordBatch.from_arrays([*hashes, *map(pa.array, (anchor, least, most)), text, along, pa.array(dealt)], names=names)
+    if apart.any():
+        of = once[many]
+        none = [pa.nulls(len(of), kind) for kind in (*[pa.int64()] * 3, pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(c1[of]), pa.array(c2[of]), *none, _binary(places[order[apart]], bounds(count[many])), pa.array(dealt[many])], names=names)
+
+
 def fragments(distinct: DataFrame, window: int, most_places: int = PLACES) -> DataFrame:
     """Fragments of distinct regions, one row for equal ones in a run of regions: bytes, anchor, least and greatest document, and places.
 
@@ -183,20 +201,8 @@ def fragments(distinct: DataFrame, window: int, most_places: int = PLACES) -> Da
             dealt = (mix(anchor ^ np.uint64(window)) % np.uint64(passes)).astype(np.int32)
             places = np.empty(len(a), _PLACE)
             places["r1"], places["r2"], places["at"] = r1[row], r2[row], a - part.offsets[region]
-            count = np.bincount(back, minlength=len(once))
-            many = count > most_places
-            order = np.argsort(back, kind="stable")
-            apart = many[back[order]]
-            bounds = lambda k: np.concatenate([[0], np.cumsum(k)]) * _PLACE.itemsize
-            names = ["c1", "c2", "anchor", "least", "most", "bytes", "places", "part"]
-            hashes = [pa.array(x[once], mask=~many) for x in (c1, c2)]
             text = _binary(*gathered(part.data, a[once], b[once]))
-            columns = [*hashes, *map(pa.array, (anchor[once].view(np.int64), lowest, highest)), text, _binary(places[order[~apart]], bounds(np.where(many, 0, count)))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(dealt[once])], names=names)
-            if apart.any():
-                of = once[many]
-                none = [pa.nulls(len(of), kind) for kind in (*[pa.int64()] * 3, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(c1[of]), pa.array(c2[of]), *none, _binary(places[order[apart]], bounds(count[many])), pa.array(dealt[of])], names=names)
+            yield from _with_places(c1, c2, back, once, anchor[once].view(np.int64), lowest, highest, text, places, dealt[once], most_places)
 
     return map_batches(distinct.select("c1", "c2", "least", "most", "bytes"), run, _FRAGMENTS)
 
@@ -379,18 +385,19 @@ def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int
     if hot is not None and hot.isEmpty():
         hot = None
 
-    def single(batch: pa.RecordBatch) -> pa.RecordBatch:
-        part = Slice(0, batch.num_rows, *text_buffers(batch.column("bytes")))
-        base = part.offsets[0]
-        sizes = np.diff(part.offsets) - window + 1
-        row = np.repeat(np.arange(batch.num_rows), sizes)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        begin = part.offsets[row] + at
-        raw = np.lib.stride_tricks.sliding_window_view(part.data[base : part.offsets[-1]], window)[begin - base]
-        text = pa.FixedSizeBinaryArray.from_buffers(pa.binary(window), len(row), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
-        c1, c2 = (range_hashes(part.data, part.offsets[:-1], part.offsets[1:], seed).view(np.int64) for seed in (1, 2))
-        own = batch.select(["least", "most"]).take(pa.array(row))
-        return pa.RecordBatch.from_arrays([pa.array(c1[row]), pa.array(c2[row]), *own.columns, pa.array(at), text], names=["c1", "c2", "least", "most", "at", "bytes"])
+    def single(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The windows of fragments like fragments of regions: one row for equal ones, with their places in fragments."""
+        for part in slices(batch.column("bytes")):
+            own = slice(part.first, part.last)
+            sizes = np.diff(part.offsets) - window + 1
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            places = np.empty(len(row), _PLACE)
+            places["at"] = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            places["r1"], places["r2"] = (range_hashes(part.data, part.offsets[:-1], part.offsets[1:], seed).view(np.int64)[row] for seed in (1, 2))
+            begin = part.offsets[row] + places["at"]
+            c1, c2, back, once, least, most = _leads(part.data, begin, begin + window, *(batch.column(k).to_numpy()[own][row] for k in ("least", "most")))
+            text = _binary(*gathered(part.data, begin[once], begin[once] + window))
+            yield from _with_places(c1, c2, back, once, c1[once], least, most, text, places, np.zeros(len(once), np.int32), PLACES)
 
     def named(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, bounds = text_buffers(batch.column("bytes"))
@@ -402,18 +409,10 @@ def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int
         a, b, least = (np.repeat(batch.column(k).to_numpy(), counts) for k in ("a", "b", "least"))
         return _batch(places["r1"], places["r2"], places["at"] + a, places["at"] + b, least, True)
 
-    def run_single(batches):
-        for held in _chunks(batches, "anchor", chunk_bytes):
-            table = pa.Table.from_batches(held).combine_chunks()
-            texts = table["bytes"].combine_chunks().dictionary_encode()
-            back = texts.indices.to_numpy()
-            least = np.full(len(texts.dictionary), _NONE)
-            np.minimum.at(least, back, table["least"].to_numpy())
-            low = window_classes(texts.dictionary.to_pylist(), least, window)[1][back]
-            some = np.flatnonzero(low < table["most"].to_numpy())
-            if len(some):
-                c1, c2, at = (table[k].to_numpy()[some] for k in ("c1", "c2", "at"))
-                yield _batch(c1, c2, at, at + 1, low[some], False)
+    def by_hash(decided: DataFrame, rest: DataFrame) -> DataFrame:
+        """Decisions at the places that did not go along."""
+        apart = decided.where("not placed").select(F.col("r1").alias("c1"), F.col("r2").alias("c2"), "a", "b", "least").distinct()
+        return scratch.keep(map_batches(rest.join(apart, ["c1", "c2"]).select("places", "a", "b", "least"), at_places, _DECIDED))
 
     out = []
     for k in range(PASSES):
@@ -423,13 +422,12 @@ def decisions(found: DataFrame, window: int, scratch: Scratch, chunk_bytes: int
             decided = scratch.keep(dealt(some))
         else:
             many = some.join(hot, "anchor", "left_semi").select("least", "most", "bytes", "places")
-            windows = map_batches(many, single, "c1 long, c2 long, least long, most long, at long, bytes binary").withColumn("anchor", F.xxhash64("bytes"))
-            windows = windows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run_single, _DECIDED)
-            decided = scratch.keep(dealt(some.join(hot, "anchor", "left_anti")).unionByName(windows))
-            rest = rest.unionByName(map_batches(many.where("length(places) > 0"), named, "c1 long, c2 long, places binary"))
-        by_hash = decided.where("not placed").select(F.col("r1").alias("c1"), F.col("r2").alias("c2"), "a", "b", "least").distinct()
-        joined = rest.join(by_hash, ["c1", "c2"]).select("places", "a", "b", "least")
-        out += [decided, scratch.keep(map_batches(joined, at_places, _DECIDED))]
+            windows = scratch.keep(map_batches(many.select("least", "most", "bytes"), single, _FRAGMENTS))
+            at = scratch.keep(dealt(windows.where("bytes is not null")))
+            at = at.where("placed").unionByName(by_hash(at, windows.where("bytes is null").select("c1", "c2", "places")))
+            decided = scratch.keep(dealt(some.join(hot, "anchor", "left_anti")).unionByName(at.withColumn("placed", F.lit(False))))
+            rest = rest.unionByName(map_batches(many.where("length(places) > 0").select("bytes", "places"), named, "c1 long, c2 long, places binary"))
+        out += [decided, by_hash(decided, rest)]
     return out
 
 

@@ -709,6 +709,25 @@ def test_places_that_go_along_or_apart_give_one_result(docs, rows, monkeypatch,
     assert got == want
 
 
+def test_a_window_of_many_fragments_is_few_rows(spark, monkeypatch):
+    """300 regions share a line in different surroundings, so its anchor is in 300 fragments: each of its windows is dealt once for the run of fragments."""
+    rng = random.Random(33)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).encode()
+    shared = line(60)
+    texts = [line(40) + shared + line(40) for _ in range(300)]
+    regions = spark.createDataFrame([(k, -k, k, k, bytearray(t)) for k, t in enumerate(texts)], "c1 long, c2 long, least long, most long, bytes binary").coalesce(1)
+    scratch = Scratch(spark, "windows")
+    found, kept, keep = scratch.keep(suffix_dedup.fragments(regions, 50), "part", suffix_dedup.PASSES), [], scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, *by: kept.append(keep(df, *by)) or kept[-1])
+    tables = suffix_dedup.decisions(found, 50, scratch, group_bytes=2000)
+    windows = Counter(bytes(r["bytes"]) for t in kept if "bytes" in t.columns for r in t.where("bytes is not null").collect())
+    assert windows and max(windows.values()) == 1 and any(w in shared for w in windows)
+    got = {(r["r1"], at, r["least"]) for t in tables for r in t.where("placed").collect() for at in range(r["a"], r["b"])}
+    first: dict = {}
+    want = {(k, at, first.setdefault(t[at : at + 50], k)) for k, t in enumerate(texts) for at in range(len(t) - 49)}
+    assert {x for x in got if x[2] < x[0]} == {x for x in want if x[2] < x[0]}
+
+
 @pytest.mark.parametrize("most", [1, 7, 1000])
 def test_runs_of_regions_are_put_together(most):
     rng = random.Random(31)
